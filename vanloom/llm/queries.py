@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vanloom.llm import copies, encoding, lookalike, splits
+from vanloom.llm import copies, encoding, lookalike, segment, splits
 from vanloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,5 +41,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.variants(table(spark, d, "raw_articles"), table(spark, d, "sentences")).drop("unified")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_restored, p4_found, p4_counts, p5_found)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return segment.units(table(spark, d, "articles")).select("doc_id", "sent_start", "sent_end")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_restored, p4_found, p4_counts, p5_found, p7_found)}
 ORACLE: dict[str, str] = {}
