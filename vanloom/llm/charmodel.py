@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Buckets for single characters, pairs and triples.
 SIZES = (1 << 16, 1 << 17, 1 << 18)
 WEIGHTS = (0.02, 0.18, 0.8)
+#: Characters counted at a time; bounds the memory of a task.
+CHUNK = 1 << 20
 _M1, _M2, _M3 = np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917)
 
 
@@ -29,25 +31,42 @@ def buckets(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return one, two, three
 
 
-def train(texts: DataFrame, column: str) -> list[np.ndarray]:
-    """Counts of all non-null texts of ``column``; an empty table gives an all-zero model."""
+class Counts:
+    """Running counts of one task."""
 
-    def count(batches):
-        total = [np.zeros(n, dtype=np.int64) for n in SIZES]
-        for b in batches:
-            joined = "\n".join(x for x in b.column(0).to_pylist() if x)
-            if len(joined) > 2:
-                for t, at in zip(total, buckets(codes(joined)), strict=True):
-                    t += np.bincount(at, minlength=len(t))
-        for k, t in enumerate(total):
-            at = np.flatnonzero(t)
-            yield pa.RecordBatch.from_arrays([pa.array(at + sum(SIZES[:k]), pa.int32()), pa.array(t[at])], names=["bucket", "n"])
+    def __init__(self):
+        self.total = [np.zeros(n, dtype=np.int64) for n in SIZES]
+        self.wait: list[str] = []
+        self.chars = 0
 
-    rows = texts.select(F.col(column)).where(F.col(column).isNotNull()).mapInArrow(count, "bucket int, n bigint")
-    got = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    def add(self, texts: list[str]) -> None:
+        for t in texts:
+            self.wait.append(t)
+            self.chars += len(t)
+            if self.chars > CHUNK:
+                self.flush()
+
+    def flush(self) -> None:
+        joined = "\n".join(self.wait)
+        self.wait, self.chars = [], 0
+        for k in range(0, max(0, len(joined) - 2), CHUNK):
+            for t, at in zip(self.total, buckets(codes(joined[k : k + CHUNK + 2])), strict=True):
+                t += np.bincount(at, minlength=len(t))
+
+    def rows(self) -> tuple[pa.Array, pa.Array]:
+        """Non-zero buckets, numbered through all tables, and their counts."""
+        self.flush()
+        flat = np.concatenate(self.total)
+        at = np.flatnonzero(flat)
+        return pa.array(at, pa.int32()), pa.array(flat[at])
+
+
+def gathered(counts: DataFrame) -> "CharModel":
+    """The model of all tasks' ``bucket, n`` rows; combined on the map side, sum(SIZES) rows at most."""
+    got = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     flat = np.zeros(sum(SIZES), dtype=np.float64)
     flat[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    return np.split(flat, np.cumsum(SIZES)[:-1])
+    return CharModel(np.split(flat, np.cumsum(SIZES)[:-1]))
 
 
 class CharModel:

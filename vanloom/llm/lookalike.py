@@ -12,13 +12,15 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vanloom.llm.charmodel import CharModel
-from vanloom.llm.encoding import fit, repair, suspicious
+from vanloom.llm.encoding import repair, scan
 
 # Letters that look like a Latin one, grouped by script.
 LIKE = dict(zip(
@@ -39,8 +41,8 @@ _COMPOSE = regex.compile(rf"[^{_MARK}\s][{_MARK}]+")
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _LATIN = regex.compile(r"\p{Latin}")
 _OTHER = regex.compile("[" + "".join(LIKE) + "]")
-#: JVM-side sieve: every text that ``unify`` could change has one of these.
-SIEVE = f"[{_SPACE}{_HIDDEN}{_WIDE}{_MARK}{_MATH}{''.join(LIKE)}]".replace("\U000e0000", r"\x{e0000}").replace("\U000e0fff", r"\x{e0fff}").replace("\U0001d400", r"\x{1d400}").replace("\U0001d7ff", r"\x{1d7ff}")
+#: First sieve: every text that ``unify`` could change has one of these.
+SIEVE = f"[{_SPACE}{_HIDDEN}{_WIDE}{_MARK}{_MATH}{''.join(LIKE)}]"
 
 
 def _latin(m: regex.Match) -> str:
@@ -76,39 +78,61 @@ def compare_key(text: str | None) -> str | None:
 
 
 def unified(text: Column) -> Column:
-    """``unify`` as a column; texts without any special character do not leave the JVM."""
+    """``unify`` as a column, once per distinct value of a batch."""
 
     @F.pandas_udf("string")
     def slow(texts: pd.Series) -> pd.Series:
-        done = {t: unify(t) for t in texts.dropna().unique()}
-        return texts.map(done)
+        return texts.map({t: unify(t) for t in texts.dropna().unique()})
 
-    return F.when(text.rlike(SIEVE), slow(F.when(text.rlike(SIEVE), text))).otherwise(text)
+    return slow(text)
 
 
-def differing(rows: DataFrame, key: str, text: str, table_name: str, model: CharModel | None = None) -> DataFrame:
-    """``table_name, record_id, unified`` of rows that ``unify`` changes; with a model, garbled texts are left to problem 2."""
-    shared = None if model is None else rows.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("string")
-    def change(texts: pd.Series, odd: pd.Series) -> pd.Series:
-        def one(t: str, may: bool) -> str | None:
+def changed(texts: pa.Array, _odd: pa.Array | None = None) -> list[str | None]:
+    """The unified form of each text that ``unify`` changes, null for the others."""
+    out: list[str | None] = [None] * len(texts)
+    at = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, SIEVE), False).to_numpy(zero_copy_only=False))
+    seen: dict[str, str | None] = {}
+    for i, t in zip(at, texts.take(pa.array(at)).to_pylist(), strict=True):
+        if t not in seen:
             new = unify(t)
-            return None if new == t or (may and repair(t, shared.value).chain) else new
+            seen[t] = None if new == t else new
+        out[i] = seen[t]
+    return out
+
+
+def differing(rows: DataFrame, key: str, text: str, table_name: str, but_garbled: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
+    """``table_name, record_id, unified`` of rows that ``unify`` changes.
+
+    With ``but_garbled``, texts of problem 2 are left out; its model is trained in the same pass on
+    the clean texts of ``text`` and the fields ``also``.
+    """
+    if not but_garbled:
+
+        def run(batches):
+            for b in batches:
+                new = pa.array(changed(b.column(1)), pa.string())
+                some = pc.is_valid(new)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(some), new.filter(some)], names=["record_id", "unified"])
+
+        hit = rows.select(F.col(key).cast("bigint").alias("record_id"), F.col(text).alias("_t")).mapInArrow(run, "record_id bigint, unified string")
+    else:
+        names = rows.select(F.col(key).cast("bigint").alias("record_id"), F.col(text).alias("main"), *[F.col(f).alias(f"also{i}") for i, f in enumerate(also)])
+
+        def pick(texts: pa.Array, odd: pa.Array) -> list[str | None]:
+            return changed(texts)
+
+        model, hit = scan(names, {"record_id": "bigint"}, ("main", *[f"also{i}" for i in range(len(also))]), pick)
+        shared = rows.sparkSession.sparkContext.broadcast(model)
 
-        done: dict[str, str | None] = {}
-        for t, may in zip(texts, odd, strict=True):
-            if t not in done:
-                done[t] = one(t, may)
-        return texts.map(done)
+        @F.pandas_udf("boolean")
+        def garbled(texts: pd.Series) -> pd.Series:
+            return texts.map({t: bool(repair(t, shared.value).chain) for t in texts.unique()})
 
-    odd = F.lit(False) if model is None else suspicious(F.col("_t"))
-    hit = rows.select(F.col(key).alias("record_id"), F.col(text).alias("_t")).where(F.col("_t").rlike(SIEVE))
-    hit = hit.withColumn("unified", change("_t", odd)).where("unified is not null")
-    return hit.select(F.lit(table_name).alias("table_name"), F.col("record_id").cast("bigint").alias("record_id"), "unified")
+        hit = hit.where("field_name = 'main'").where(~garbled("text")).select("record_id", F.col("kept").alias("unified"))
+    return hit.select(F.lit(table_name).alias("table_name"), "record_id", "unified")
 
 
 def variants(articles: DataFrame, sentences: DataFrame) -> DataFrame:
     """``table_name, record_id, unified`` over both tables."""
-    a = differing(articles, "article_id", "Content", "raw_articles", fit(articles))
+    a = differing(articles, "article_id", "Content", "raw_articles", but_garbled=True, also=("Summarize",))
     return a.unionByName(differing(sentences, "row_id", "sentence", "sentences"))

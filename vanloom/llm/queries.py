@@ -25,8 +25,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_restored(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "raw_articles")
-    return encoding.repaired(rows, encoding.fit(rows), ["article_id"])
+    return encoding.repaired(table(spark, d, "raw_articles"), {"article_id": "bigint"})
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
