@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vanloom.llm import copies, encoding, lookalike, segment, splits
+from vanloom.llm import copies, encoding, lookalike, overlap, segment, splits
 from vanloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,15 @@ def p2_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.repaired(table(spark, d, "raw_articles"), {"article_id": "bigint"})
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlaps(table(spark, d, "raw_articles")).drop("match")
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "raw_articles")
+    return overlap.report(rows, overlap.overlaps(rows))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copies(table(spark, d, "raw_articles"))
 
@@ -44,5 +53,5 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return segment.units(table(spark, d, "articles")).select("doc_id", "sent_start", "sent_end")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_restored, p4_found, p4_counts, p5_found, p7_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_restored, p3_found, p3_report, p4_found, p4_counts, p5_found, p7_found)}
 ORACLE: dict[str, str] = {}
