@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vanloom.llm import copies, encoding, lookalike, overlap, segment, splits
+from vanloom.llm import copies, encoding, lookalike, mixing, overlap, packing, sampling, segment, splits
 from vanloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,9 +49,42 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.variants(table(spark, d, "raw_articles"), table(spark, d, "sentences")).drop("unified")
 
 
+def _p6(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "raw_articles"), table(spark, d, "sample_targets")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.unreachable(*_p6(spark, d))
+
+
+def p6_sample(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.sample(*_p6(spark, d))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.sample_report(*_p6(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return segment.units(table(spark, d, "articles")).select("doc_id", "sent_start", "sent_end")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_restored, p3_found, p3_report, p4_found, p4_counts, p5_found, p7_found)}
+def p8_bins(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(table(spark, d, "documents"), table(spark, d, "containers"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_bins(spark, d))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    return mixing.mix_report(docs, targets, mixing.mix(docs, targets))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_restored, p3_found, p3_report, p4_found, p4_counts, p5_found, p6_found, p6_sample, p6_report, p7_found, p8_bins, p8_report, p9_mix, p9_report)}
 ORACLE: dict[str, str] = {}
