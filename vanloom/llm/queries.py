@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vanloom.llm import copies, encoding, lookalike, mixing, overlap, packing, sampling, segment, splits
+from vanloom.llm import abuse, copies, encoding, lookalike, mixing, overlap, packing, sampling, segment, splits
 from vanloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,5 +86,22 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(docs, targets, mixing.mix(docs, targets))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_restored, p3_found, p3_report, p4_found, p4_counts, p5_found, p6_found, p6_sample, p6_report, p7_found, p8_bins, p8_report, p9_mix, p9_report)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.abusive(table(spark, d, "documents"))
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scored(table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "abuse_score")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(table(spark, d, "documents"))
+
+
+def p5_unified(spark: SparkSession, d: str) -> DataFrame:
+    a, b = table(spark, d, "raw_articles"), table(spark, d, "sentences")
+    return lookalike.variants(a, b)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_restored, p3_found, p3_report, p4_found, p4_counts, p5_found, p6_found, p6_sample, p6_report, p7_found, p8_bins, p8_report, p9_mix, p9_report, p10_found, p10_scores, p10_rates, p5_unified)}
 ORACLE: dict[str, str] = {}
