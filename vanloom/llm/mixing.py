@@ -83,7 +83,7 @@ def mix(docs: DataFrame, targets: DataFrame, size: float | None = None, seed: in
     schema = f"mix_name string, source string, doc_id {kind}, n_tokens int, whole int, part double, shard int"
 
     def round_up(level: int):
-        def one(key, g: pd.DataFrame) -> pd.DataFrame:
+        def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
             g = g.sort_values("doc_id", kind="stable").reset_index(drop=True)
             done, open_, q = pivotal(g.part.tolist(), g.n_tokens.tolist(), random.Random(f"{seed}:{level}:{key}"))
             g["part"] = pd.Series(done, dtype="float64")
