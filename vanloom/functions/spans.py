@@ -165,7 +165,7 @@ def bio_decode(tokens: Column, labels: Column, text: Column) -> Column:
     empty = F.array().cast("array<struct<start:int,end:int,label:string,open:boolean>>")
 
     def step(acc: Column, p: Column) -> Column:
-        kind, name = F.substring(p["l"], 1, 1), F.expr("null") if False else p["l"].substr(F.lit(3), F.length(p["l"]))
+        kind, name = F.substring(p["l"], 1, 1), p["l"].substr(F.lit(3), F.length(p["l"]))
         last = F.element_at(acc, -1)
         go_on = (F.size(acc) > 0) & (kind == "I") & F.coalesce(F.when(F.size(acc) > 0, last["open"] & (last["label"] == name)), F.lit(False))
         head = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))

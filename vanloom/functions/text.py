@@ -15,16 +15,21 @@ SPACE = r"[\s \u0085\u001C-\u001F  \p{Zs}]"
 UPPER = r"\p{Lu}"
 
 
-@F.pandas_udf("string")
-def nfc(text: pd.Series) -> pd.Series:
+def _normal(form: str):
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: unicodedata.normalize(form, t), na_action="ignore")
+
+    return run
+
+
+def nfc(text: Column) -> Column:
     """Canonical composition."""
-    return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+    return F.pandas_udf(_normal("NFC"), "string")(text)
 
 
-@F.pandas_udf("string")
-def nfd(text: pd.Series) -> pd.Series:
+def nfd(text: Column) -> Column:
     """Canonical decomposition."""
-    return text.map(lambda t: unicodedata.normalize("NFD", t), na_action="ignore")
+    return F.pandas_udf(_normal("NFD"), "string")(text)
 
 
 def composed(text: Column) -> Column:
@@ -119,15 +124,21 @@ def rough_sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?…])(?<!(?<![\p{L}])\p{Lu}\.)\s+|\n+"), F.trim), lambda s: s != "")
 
 
-@F.pandas_udf("double")
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+def similarity(a: Column | str, b: Column | str) -> Column:
     """Ratcliff-Obershelp ratio, the second argument being the reference; null for nulls."""
+    return F.pandas_udf(_ratios, "double")(a, b)
+
+
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("struct<folded:string,offsets:array<int>>")
-def accent_fold(text: pd.Series) -> pd.DataFrame:
-    """Text without accents, in lower case, and the source position of each of its characters."""
+def accent_fold(text: Column) -> Column:
+    """struct<folded,offsets>: text without accents, in lower case, and the source position of each of its characters."""
+    return F.pandas_udf(_folds, "struct<folded:string,offsets:array<int>>")(text)
+
+
+def _folds(text: pd.Series) -> pd.DataFrame:
     rows = []
     for t in text:
         chars, at = [], []

@@ -1,10 +1,8 @@
-"""Queries of the core operators and their SQL."""
+"""Queries of the core operators and their SQL. The registry is filled by the modules below."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from vanloom.plans.registry import ORACLE, QUERIES
+from vanloom.plans import corpus, profiles, spans_and_events  # noqa: F401  (they register their queries)
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
