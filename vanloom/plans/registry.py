@@ -42,6 +42,6 @@ def finditer(t: str, rx: str) -> str:
     rx = rx.replace("'", "''")
     return (
         f"(SELECT k, start, start + length(hit) AS \"end\", hit AS text FROM (SELECT k, h[k] AS hit, "
-        f"coalesce(list_sum([length(x) for x in p[1:k]]), 0) + coalesce(list_sum([length(x) for x in h[1:k-1]]), 0) AS start "
+        f"CAST(coalesce(list_sum([length(x) for x in p[1:k]]), 0) + coalesce(list_sum([length(x) for x in h[1:k-1]]), 0) AS BIGINT) AS start "
         f"FROM (SELECT regexp_split_to_array({t}, '{rx}') AS p, regexp_extract_all({t}, '{rx}') AS h), unnest(range(1, len(h) + 1)) AS u(k)))"
     )

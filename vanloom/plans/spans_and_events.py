@@ -1 +1,373 @@
+"""Span, annotation, metric, trigger, role and recogniser queries over the annotation rows and sentences."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from vanloom.functions import spans as S
+from vanloom.functions import text as T
+from vanloom.operators import align, annotation, entities, events, lint, metrics, models
+from vanloom.operators import vocabulary as V
+from vanloom.plans.registry import finditer, query
+from vanloom.session import table
+from vanloom.sources import io
+
+CAPITALS = r"\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)+"
+# A stand-in predictor, two patterns with labels, so that scores can be stated in SQL.
+PRED = {"TIME": r"\d{1,2}/\d{1,2}(?:/\d{4})?", "MONEY": r"\d+(?:[.,]\d+)*(?: (?:triệu|tỷ|tỉ))? (?:đồng|USD)"}
+WORDS = {"KHOI_TO": ["khởi tố"], "THU_GIU": ["thu giữ"], "BAT_GIU": ["bắt quả tang", "bắt khẩn cấp"], "XET_XU": ["xét xử", "tuyên phạt"], "CUOP_TROM": ["đột nhập"], "MA_TUY": ["mua bán"]}
+
+
+def _anno(s, d) -> DataFrame:
+    return table(s, d, "to_annotate").where("sentence is not null")
+
+
+def _gold_arrays(s, d) -> DataFrame:
+    return _anno(s, d).select("row_id", "sentence", S.located(F.col("sentence"), S.parse_entities(F.col("entities"))).alias("spans"))
+
+
+def _flat(df: DataFrame, column: str = "spans") -> DataFrame:
+    return df.select("row_id", F.explode(column).alias("x")).select("row_id", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.text").alias("text"), F.col("x.label").alias("label"))
+
+
+def _gold(s, d) -> DataFrame:
+    return _flat(_gold_arrays(s, d))
+
+
+def _pred(s, d) -> DataFrame:
+    t = F.col("sentence")
+    return _flat(_anno(s, d).select("row_id", F.concat(*[S.finditer(t, rx, k) for k, rx in PRED.items()]).alias("spans")))
+
+
+def _hits(s, d) -> DataFrame:
+    return _flat(_anno(s, d).select("row_id", S.phrases(F.col("sentence"), WORDS).alias("spans")))
+
+
+_LABEL = "upper(trim(regexp_extract(it, '(?s)^.*\\|([^|]*)$', 1)))"
+_ALIAS = f"CASE {_LABEL} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in S.ALIASES.items()) + f" ELSE {_LABEL} END"
+_ITEMS = f"items AS (SELECT row_id, sentence, trim(regexp_extract(it, '(?s)^(.*)\\|[^|]*$', 1)) AS text, {_ALIAS} AS label FROM (SELECT row_id, sentence, trim(unnest(string_split(entities, ';'))) AS it FROM to_annotate WHERE sentence IS NOT NULL AND upper(trim(entities)) <> 'NONE') WHERE contains(it, '|'))"
+_GOLD = f"{_ITEMS}, gold AS (SELECT row_id, sentence, instr(sentence, text) - 1 AS \"start\", instr(sentence, text) - 1 + length(text) AS \"end\", text, label FROM items WHERE text <> '' AND instr(sentence, text) > 0)"
+
+
+def _found(patterns: dict[str, str], source: str = "to_annotate") -> str:
+    return " UNION ALL ".join(f"SELECT t.row_id, m.start AS \"start\", m.\"end\", m.text, '{k}' AS label FROM {source} t, LATERAL {finditer('t.sentence', rx)} m WHERE t.sentence IS NOT NULL" for k, rx in patterns.items())
+
+
+_PREDS = f"pred AS ({_found(PRED)})"
+_HITS = "hits AS (" + " UNION ALL ".join(
+    f"SELECT t.row_id, m.start AS \"start\", m.\"end\", m.text, '{k}' AS label FROM to_annotate t, LATERAL {finditer('t.sentence', '(?i)' + p)} m WHERE t.sentence IS NOT NULL AND NOT regexp_matches(CASE WHEN m.start > 0 THEN substring(t.sentence, m.start, 1) ELSE '' END, '\\p{{L}}') AND NOT regexp_matches(substring(t.sentence, m.\"end\" + 1, 1), '\\p{{L}}')"
+    for k, some in WORDS.items() for p in some
+) + ")"
+
+
+@query(f"SELECT t.row_id, m.start AS \"start\", m.\"end\", m.text FROM sentences t, LATERAL {finditer('t.sentence', CAPITALS)} m WHERE t.sentence IS NOT NULL")
+def spn00_finditer(s, d):
+    return _flat(table(s, d, "sentences").where("sentence is not null").select("row_id", S.finditer(F.col("sentence"), CAPITALS, "").alias("spans"))).drop("label")
+
+
+@query(f"WITH {_HITS} SELECT * FROM hits")
+def spn01_phrases(s, d):
+    return _hits(s, d)
+
+
+@query("SELECT row_id, i - 1 AS pos FROM (SELECT row_id, regexp_extract_all(lower(sentence), '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}_\\s]') AS t FROM to_annotate WHERE sentence IS NOT NULL), unnest(range(1, len(t) + 1)) AS u(i) WHERE t[i] = 'triệu' AND t[i+1] = 'đồng'")
+def spn03_token_phrase(s, d):
+    return _anno(s, d).select("row_id", F.explode(S.token_phrase(T.tokens(F.lower("sentence")), ["triệu", "đồng"])).alias("pos")).select("row_id", F.col("pos").cast("bigint").alias("pos"))
+
+
+@query()
+def spn04_greedy(s, d):
+    t = F.col("sentence")
+    return _flat(_anno(s, d).select("row_id", S.greedy(F.concat(S.phrases(t, V.TRIGGERS_A), S.finditer(t, CAPITALS, "NAME"))).alias("spans")))
+
+
+@query(f"WITH {_HITS}, {_PREDS} SELECT h.* FROM hits h WHERE NOT EXISTS (SELECT 1 FROM pred p WHERE p.row_id = h.row_id AND p.\"start\" < h.\"end\" + 12 AND h.\"start\" < p.\"end\")")
+def spn09_unblocked(s, d):
+    t = F.col("sentence")
+    wide = F.transform(F.concat(*[S.finditer(t, rx, k) for k, rx in PRED.items()]), lambda x: F.struct((x["start"] - 12).alias("start"), x["end"].alias("end")))
+    return _flat(_anno(s, d).select("row_id", S.unblocked(S.phrases(t, WORDS), wide).alias("spans")))
+
+
+@query(f"WITH {_GOLD} SELECT count(*) AS spans, count(*) FILTER (WHERE substring(sentence, \"start\" + 1, \"end\" - \"start\") = text) AS exact FROM gold")
+def spn19_integrity(s, d):
+    g = _gold_arrays(s, d).select("sentence", F.explode("spans").alias("x"))
+    return g.agg(F.count("*").alias("spans"), F.count_if(S.exact_text(F.col("sentence"), F.col("x"))).alias("exact"))
+
+
+@query(f"WITH {_ITEMS} SELECT row_id, text, label FROM items")
+def txt20_parsed(s, d):
+    return _anno(s, d).select("row_id", F.explode(S.parse_entities(F.col("entities"))).alias("e")).select("row_id", "e.*")
+
+
+@query("SELECT row_id, label, count(*) AS n FROM (SELECT row_id, upper(trim(regexp_extract(it, '(?s)^.*\\|([^|]*)$', 1))) AS label FROM (SELECT row_id, trim(unnest(string_split(entities, ';'))) AS it FROM to_annotate) WHERE contains(it, '|')) GROUP BY ALL")
+def txt21_lenient(s, d):
+    items = F.filter(F.transform(F.split(F.coalesce("entities", F.lit("")), ";"), F.trim), lambda x: x.contains("|"))
+    return table(s, d, "to_annotate").select("row_id", F.explode(items).alias("it")).groupBy("row_id", F.upper(F.trim(F.regexp_extract("it", r"(?s)^.*\|([^|]*)$", 1))).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_GOLD} SELECT t.row_id, coalesce(c.cell, 'NONE') AS cell FROM to_annotate t LEFT JOIN (SELECT row_id, string_agg(text || '|' || label, '; ' ORDER BY \"start\", \"end\", text, label) AS cell FROM gold GROUP BY row_id) c USING (row_id) WHERE t.sentence IS NOT NULL")
+def snk04_entity_cells(s, d):
+    return _gold_arrays(s, d).select("row_id", S.format_entities(F.col("spans")).alias("cell"))
+
+
+_TOKENS = f"toks AS (SELECT t.row_id, m.k AS token_index, m.text AS token, m.start AS \"start\", m.\"end\" FROM to_annotate t, LATERAL {finditer('t.sentence', '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}_\\s]')} m WHERE t.sentence IS NOT NULL)"
+_BIO = f"WITH {_GOLD}, {_TOKENS}, one AS (SELECT t.*, (SELECT min(struct_pack(s := g.\"start\", e := g.\"end\", x := g.text, l := g.label)) FROM gold g WHERE g.row_id = t.row_id AND g.\"start\" <= t.\"start\" AND t.\"end\" <= g.\"end\") AS g FROM toks t)"
+
+
+@query(f"{_BIO} SELECT row_id AS sentence_id, token_index, token, CASE WHEN g IS NULL THEN 'O' WHEN g.s = \"start\" THEN 'B-' || g.l ELSE 'I-' || g.l END AS label, \"start\", \"end\" FROM one")
+def snk05_bio_rows(s, d):
+    t = F.col("sentence")
+    toks = _gold_arrays(s, d).withColumn("t", S.finditer(t, r"[\p{L}\p{N}]+|[^\p{L}\p{N}_\s]", ""))
+    rec = toks.select("row_id", F.transform("t", lambda x: x["text"]).alias("tokens"), F.transform("t", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("token_offsets"), S.bio_encode(F.col("t"), F.col("spans")).alias("labels"))
+    return io.bio_rows(rec, "row_id")
+
+
+@query()
+def spn15_bio_decoded(s, d):
+    t = F.col("sentence")
+    toks = _gold_arrays(s, d).withColumn("t", S.finditer(t, r"[\p{L}\p{N}]+|[^\p{L}\p{N}_\s]", "")).withColumn("l", S.bio_encode(F.col("t"), F.col("spans")))
+    return _flat(toks.select("row_id", S.bio_decode(F.col("t"), F.col("l"), t).alias("spans")))
+
+
+@query()
+def txt16_cut_words(s, d):
+    t = F.col("sentence")
+    cut = S.cut_at(S.finditer(t, r"\S+", ""), F.flatten(F.transform("spans", lambda x: F.array(x["start"], x["end"]))))
+    return _gold_arrays(s, d).select("row_id", F.explode(cut).alias("w")).select("row_id", "w.*")
+
+
+_SNIP = "CASE WHEN \"start\" - 40 > 0 THEN '…' ELSE '' END || trim(substring(sentence, greatest(\"start\" - 40, 0) + 1, least(\"end\" + 120, length(sentence)) - greatest(\"start\" - 40, 0))) || CASE WHEN \"end\" + 120 < length(sentence) THEN '…' ELSE '' END"
+
+
+@query(f"WITH {_GOLD} SELECT row_id, \"start\", text, {_SNIP} AS snippet FROM gold WHERE label = 'TIME'")
+def txt23_timeline(s, d):
+    g = _gold_arrays(s, d).select("row_id", "sentence", F.explode(F.filter("spans", lambda x: x["label"] == "TIME")).alias("x"))
+    return g.select("row_id", F.col("x.start").alias("start"), F.col("x.text").alias("text"), S.snippet(F.col("sentence"), F.col("x")).alias("snippet"))
+
+
+@query()
+def txt24_highlighted(s, d):
+    return _gold_arrays(s, d).select("row_id", S.highlight(F.col("sentence"), F.col("spans")).alias("marked"))
+
+
+# Joins between spans
+
+
+@query(f"WITH {_GOLD}, {_PREDS} SELECT g.row_id, count(*) AS pairs FROM gold g JOIN pred p ON g.row_id = p.row_id AND g.\"start\" < p.\"end\" AND p.\"start\" < g.\"end\" GROUP BY g.row_id")
+def jon07_span_overlap(s, d):
+    g = _gold(s, d).select("row_id", F.col("start").alias("gs"), F.col("end").alias("ge"))
+    return g.join(_pred(s, d), "row_id").where((F.col("gs") < F.col("end")) & (F.col("start") < F.col("ge"))).groupBy("row_id").agg(F.count("*").alias("pairs"))
+
+
+@query(f"WITH {_HITS}, {_PREDS}, c AS (SELECT h.*, length(substring(t.sentence, 1, h.\"start\")) - length(regexp_extract(substring(t.sentence, 1, h.\"start\"), '([^;.!?]*)$', 1)) AS a, h.\"start\" + length(regexp_extract(substring(t.sentence, h.\"start\" + 1), '^([^;.!?]*)', 1)) AS z FROM hits h JOIN to_annotate t USING (row_id)) SELECT c.row_id, c.\"start\", p.\"start\" AS arg_start, p.label AS arg_label FROM c JOIN pred p ON p.row_id = c.row_id AND p.\"start\" >= c.a AND p.\"end\" <= c.z")
+def jon08_same_clause(s, d):
+    t = F.col("sentence")
+    rows = _anno(s, d).select("row_id", "sentence", F.explode(S.phrases(t, WORDS)).alias("h"), F.concat(*[S.finditer(t, rx, k) for k, rx in PRED.items()]).alias("p"))
+    c = events.clause_bounds(t, F.col("h.start"))
+    rows = rows.withColumn("c", c).select("row_id", F.col("h.start").alias("start"), F.explode(F.filter("p", lambda e: (e["start"] >= F.col("c.a")) & (e["end"] <= F.col("c.z")))).alias("e"))
+    return rows.select("row_id", "start", F.col("e.start").alias("arg_start"), F.col("e.label").alias("arg_label"))
+
+
+@query(f"WITH {_HITS}, {_PREDS} SELECT h.row_id, h.\"start\", h.label, max(p.\"end\") AS nearest_end FROM hits h LEFT JOIN pred p ON p.row_id = h.row_id AND p.\"end\" <= h.\"start\" GROUP BY ALL")
+def jon09_nearest_preceding(s, d):
+    t = F.col("sentence")
+    rows = _anno(s, d).select("row_id", F.explode(S.phrases(t, WORDS)).alias("h"), F.array_sort(F.concat(*[S.finditer(t, rx, k) for k, rx in PRED.items()])).alias("p"))
+    near = S.nearest_before(F.transform("p", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))), F.col("h.start"))
+    return rows.select("row_id", F.col("h.start").alias("start"), F.col("h.label").alias("label"), near["end"].alias("nearest_end")).distinct()
+
+
+@query(f"WITH {_HITS}, {_PREDS} SELECT h.row_id, h.\"start\", h.label, count(p.row_id) AS near FROM hits h LEFT JOIN pred p ON p.row_id = h.row_id AND abs(p.\"start\" - h.\"start\") < 150 GROUP BY ALL")
+def jon10_band(s, d):
+    h, p = _hits(s, d), _pred(s, d).select("row_id", F.col("start").alias("ps"))
+    hit = h.join(p, "row_id").where(F.abs(F.col("ps") - F.col("start")) < 150).groupBy("row_id", "start", "label").agg(F.count("*").alias("near"))
+    return h.select("row_id", "start", "label").distinct().join(hit, ["row_id", "start", "label"], "left").na.fill(0, ["near"])
+
+
+@query(f"WITH {_HITS}, {_PREDS} SELECT h.row_id, h.label, p.label AS arg_label, count(*) AS pairs FROM hits h JOIN pred p ON p.row_id = h.row_id AND NOT (p.\"start\" < h.\"end\" AND h.\"start\" < p.\"end\") GROUP BY ALL")
+def jon11_pairs(s, d):
+    h, p = _hits(s, d), _pred(s, d).select("row_id", F.col("start").alias("ps"), F.col("end").alias("pe"), F.col("label").alias("arg_label"))
+    return h.join(p, "row_id").where(~((F.col("ps") < F.col("end")) & (F.col("start") < F.col("pe")))).groupBy("row_id", "label", "arg_label").agg(F.count("*").alias("pairs"))
+
+
+@query(f"WITH {_PREDS} SELECT row_id, \"start\", \"end\", nxt - \"end\" AS gap FROM (SELECT *, lead(\"start\") OVER (PARTITION BY row_id ORDER BY \"start\", \"end\", label) AS nxt FROM pred) WHERE nxt IS NOT NULL")
+def jon15_adjacent(s, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("row_id").orderBy("start", "end", "label")
+    return _pred(s, d).withColumn("nxt", F.lead("start").over(w)).where("nxt is not null").select("row_id", "start", "end", (F.col("nxt") - F.col("end")).alias("gap"))
+
+
+# Scores
+
+_FLAGS = "flags AS (SELECT row_id, \"start\", \"end\", label, max(g) AS g, max(p) AS p FROM (SELECT row_id, \"start\", \"end\", label, 1 AS g, 0 AS p FROM gold UNION ALL SELECT row_id, \"start\", \"end\", label, 0, 1 FROM pred) GROUP BY ALL)"
+_CNT = "CAST(coalesce(sum(g*p),0) AS BIGINT) AS tp, CAST(coalesce(sum((1-g)*p),0) AS BIGINT) AS fp, CAST(coalesce(sum(g*(1-p)),0) AS BIGINT) AS fn"
+_SCORE = "*, round(CASE WHEN tp+fp > 0 THEN tp/CAST(tp+fp AS DOUBLE) ELSE 0 END, 6) AS precision, round(CASE WHEN tp+fn > 0 THEN tp/CAST(tp+fn AS DOUBLE) ELSE 0 END, 6) AS recall, round(CASE WHEN tp > 0 THEN 2.0*tp/(2*tp+fp+fn) ELSE 0 END, 6) AS f1, tp+fn AS support"
+_K = ["row_id", "start", "end", "label"]
+
+
+@query(f"WITH {_GOLD}, {_PREDS}, {_FLAGS}, c AS (SELECT {_CNT} FROM flags) SELECT {_SCORE} FROM c")
+def agg22_micro(s, d):
+    return metrics.span_scores(_gold(s, d), _pred(s, d), _K, [])
+
+
+@query(f"WITH {_GOLD}, {_PREDS}, {_FLAGS}, c AS (SELECT label, {_CNT} FROM flags GROUP BY label) SELECT {_SCORE} FROM c")
+def agg23_by_label(s, d):
+    return metrics.span_scores(_gold(s, d), _pred(s, d), _K, ["label"])
+
+
+@query(f"WITH {_GOLD}, {_PREDS}, {_FLAGS}, dim AS (SELECT unnest([{', '.join(chr(39) + x + chr(39) for x in V.ENTITY_LABELS)}]) AS label), c AS (SELECT dim.label, {_CNT} FROM dim LEFT JOIN flags USING (label) GROUP BY dim.label UNION ALL SELECT 'ALL', {_CNT} FROM flags) SELECT {_SCORE} FROM c")
+def agg24_label_table(s, d):
+    return metrics.label_scores(_gold(s, d), _pred(s, d), _K, list(V.ENTITY_LABELS))
+
+
+_KINDS = """hit AS (SELECT g.row_id, g."start" gs, g."end" ge, g.label gl, p."start" ps, p."end" pe, p.label pl FROM flags g JOIN flags p ON g.row_id = p.row_id AND g.g = 1 AND g.p = 0 AND p.g = 0 AND p.p = 1 AND g."start" < p."end" AND p."start" < g."end"),
+ k AS (SELECT row_id, 'entity_type_mismatch' AS category FROM hit WHERE gs = ps AND ge = pe AND gl <> pl UNION ALL SELECT row_id, 'entity_boundary_mismatch' FROM hit WHERE NOT (gs = ps AND ge = pe)
+ UNION ALL SELECT row_id, 'organization_predicted_as_location' FROM hit WHERE gl = 'ORGANIZATION' AND pl = 'LOCATION' UNION ALL SELECT row_id, 'location_predicted_as_person' FROM hit WHERE gl = 'LOCATION' AND pl = 'PERSON' UNION ALL SELECT row_id, 'person_misrecognized' FROM hit WHERE gl = 'PERSON' AND pl <> 'PERSON'
+ UNION ALL SELECT row_id, 'entity_missing' FROM flags f WHERE g = 1 AND p = 0 AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.row_id = f.row_id AND h.gs = f."start" AND h.ge = f."end")
+ UNION ALL SELECT row_id, 'entity_extra' FROM flags f WHERE g = 0 AND p = 1 AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.row_id = f.row_id AND h.ps = f."start" AND h.pe = f."end")
+ UNION ALL SELECT row_id, 'multiple_entities' FROM gold WHERE row_id IN (SELECT row_id FROM flags WHERE g <> p) GROUP BY row_id HAVING count(*) > 1
+ UNION ALL SELECT row_id, 'repeated_prediction' FROM pred GROUP BY row_id, label, "start", "end" HAVING count(*) > 1
+ UNION ALL SELECT row_id, 'abbreviation' FROM to_annotate WHERE row_id IN (SELECT row_id FROM flags WHERE g <> p) AND regexp_matches(sentence, '(?:^|[^\\p{L}])(?:\\p{Lu}{2,}|(?:\\p{L}\\.){2,})')
+ UNION ALL SELECT row_id, 'punctuation' FROM to_annotate WHERE row_id IN (SELECT row_id FROM flags WHERE g <> p) AND regexp_matches(sentence, '["“”():;]'))"""
+
+
+@query(f"WITH {_GOLD}, {_PREDS}, {_FLAGS}, {_KINDS} SELECT DISTINCT row_id, category FROM k")
+def agg27_error_categories(s, d):
+    return metrics.sentence_errors(_gold(s, d), _pred(s, d), _anno(s, d).select("row_id", "sentence"))
+
+
+def _records(s, d, engine: str) -> DataFrame:
+    t = F.col("sentence")
+    base = _anno(s, d).select(F.col("row_id").cast("string").alias("ann_id"), "sentence", F.transform(S.located(t, S.parse_entities(F.col("entities"))), lambda e, i: F.struct(F.concat(F.lit("e"), i.cast("string")).alias("id"), e["start"].cast("int").alias("start"), e["end"].cast("int").alias("end"), e["text"].alias("text"), e["label"].alias("label"))).alias("entities"))
+    base = base.withColumn("triggers", events.triggers(t, F.col("entities"), engine))
+    return base.withColumn("relations", events.link(t, F.col("triggers"), F.col("entities")))
+
+
+@query()
+def agg25_event_scores(s, d):
+    """The five event metrics of the baseline against the service engine."""
+    return metrics.event_scores(_records(s, d, "baseline"), _records(s, d, "service"))
+
+
+@query()
+def agg26_trigger_errors(s, d):
+    return metrics.trigger_errors(_records(s, d, "baseline"), _records(s, d, "service")).groupBy("kind", "gold", "pred").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_GOLD} SELECT t.split, count(*) AS sentences, count(g.n) AS with_entities, CAST(coalesce(sum(g.n), 0) AS BIGINT) AS entities FROM to_annotate t LEFT JOIN (SELECT row_id, count(*) AS n FROM gold GROUP BY row_id) g USING (row_id) WHERE t.sentence IS NOT NULL GROUP BY t.split")
+def agg21_annotation_stats(s, d):
+    n = F.size(S.located(F.col("sentence"), S.parse_entities(F.col("entities"))))
+    return _anno(s, d).select("split", n.alias("n")).groupBy("split").agg(F.count("*").alias("sentences"), F.count_if(F.col("n") > 0).alias("with_entities"), F.sum("n").alias("entities"))
+
+
+# Triggers, roles, recognisers
+
+
+@query()
+def trg_a_preannotation(s, d):
+    return _flat(table(s, d, "sentences").where("sentence is not null").select("row_id", events.triggers_a(F.col("sentence")).alias("spans")))
+
+
+@query("SELECT row_id, regexp_matches(lower(sentence), 'khởi tố|thu giữ|bắt quả tang') AS has_keyword FROM sentences")
+def flt06_keyword_presence(s, d):
+    return table(s, d, "sentences").select("row_id", F.lower("sentence").rlike("khởi tố|thu giữ|bắt quả tang").alias("has_keyword"))
+
+
+@query()
+def trg_b_baseline(s, d):
+    return _flat(table(s, d, "sentences").where("sentence is not null").select("row_id", events.triggers(F.col("sentence"), None, "baseline").alias("spans")))
+
+
+@query()
+def trg_c_service(s, d):
+    return _flat(table(s, d, "sentences").where("sentence is not null").select("row_id", events.triggers(F.col("sentence"), None, "service").alias("spans")))
+
+
+@query()
+def rel_a_linked(s, d):
+    return _records(s, d, "baseline").select("ann_id", F.explode("relations").alias("r")).select("ann_id", "r.*")
+
+
+@query()
+def rel_b_events(s, d):
+    t = F.col("sentence")
+    rows = _gold_arrays(s, d).withColumn("triggers", events.triggers(t, None, "service"))
+    ev = rows.select("row_id", F.explode(events.service_events(t, F.col("triggers"), F.col("spans"))).alias("e"))
+    return ev.select("row_id", F.col("e.event_type").alias("event_type"), F.col("e.trigger.start").alias("start"), F.size("e.arguments").alias("arguments"))
+
+
+@query()
+def rel_c_scored_roles(s, d):
+    """Role choice over masked scores; the stand-in scorer prefers roles by the entity's distance."""
+    rec = _records(s, d, "baseline")
+    flat = rec.select("ann_id", F.explode("triggers").alias("t"), "entities").select("ann_id", "t", F.explode("entities").alias("e"))
+    score = F.array(F.lit(0.1), *[F.lit(1.0 / (i + 1)) - F.abs(F.col("e.start") - F.col("t.start")) / 200 for i in range(len(V.ROLE_LABELS))])
+    return flat.select("ann_id", F.col("t.id").alias("trigger_id"), F.col("e.id").alias("arg_id"), events.choose_role(score, F.col("e.label"), list(V.ROLE_LABELS)).alias("role")).where("role <> 'NONE'")
+
+
+@query()
+def ner_a_preannotation(s, d):
+    return _flat(table(s, d, "sentences").where("sentence is not null").select("row_id", entities.entities(F.col("sentence"), "preannotation").alias("spans")))
+
+
+@query()
+def ner_b_rules(s, d):
+    return _flat(table(s, d, "sentences").where("sentence is not null").select("row_id", entities.entities(F.col("sentence")).alias("spans")))
+
+
+@query()
+def ner_b_provenance(s, d):
+    rows = table(s, d, "sentences").where("sentence is not null").select("row_id", F.explode(entities.explained(F.col("sentence"))).alias("c"))
+    return rows.groupBy("c.rule", "c.label").agg(F.count("*").alias("candidates"), F.count_if("c.selected").alias("selected"))
+
+
+@query()
+def spn14_aligned(s, d):
+    rec = _anno(s, d).select("row_id", align.aligned(F.col("sentence"), S.parse_entities(F.col("entities"))).alias("r"))
+    return rec.select("row_id", F.size("r.tokens").alias("tokens"), F.size("r.entities").alias("entities"), F.col("r.removed").alias("removed"), F.col("r.error").alias("error"))
+
+
+@query()
+def spn21_checked(s, d):
+    rows = io.annotated(_anno(s, d).select("row_id", "sentence", "entities"))
+    return rows.where("error is not null").select("row_id", "error")
+
+
+@query()
+def lint_issues(s, d):
+    return lint.lint(annotation.from_cells(_anno(s, d)), "row_id")
+
+
+@query()
+def lint_counts(s, d):
+    return lint.lint(annotation.from_cells(_anno(s, d)), "row_id").groupBy("code").agg(F.count("*").alias("n"), F.countDistinct("row_id").alias("rows"))
+
+
+@query()
+def spn20_violations(s, d):
+    return lint.violations(annotation.from_cells(_anno(s, d)), "row_id")
+
+
+@query()
+def rel_f_records(s, d):
+    """Rows to labelling tasks with rule predictions, and tasks back to event records."""
+    t = F.col("sentence")
+    rows = _anno(s, d).withColumn("_e", entities.entities(t, "preannotation"))
+    tasks = annotation.prelabelled(rows, F.col("_e"), events.triggers_a(t, F.col("_e")))
+    rec = annotation.records(tasks)
+    return rec.groupBy("source").agg(F.count("*").alias("records"), F.sum(F.size("entities")).alias("entities"), F.sum(F.size("triggers")).alias("triggers"))
+
+
+@query()
+def mdl06_pipeline(s, d):
+    out = models.pipeline(table(s, d, "sentences").select("row_id", "sentence"))
+    return out.select("row_id", "status", F.size("entities").alias("entities"), F.size("triggers").alias("triggers"), F.size("events").alias("events"))
+
+
+@query()
+def spn22_marked_pairs(s, d):
+    t = F.col("sentence")
+    rec = _records(s, d, "baseline").select("ann_id", "sentence", F.explode("triggers").alias("t"), "entities")
+    pairs = rec.select("ann_id", "sentence", "t", F.explode(F.filter("entities", lambda e: ~S.overlaps(e, F.col("t")))).alias("e"))
+    return pairs.select("ann_id", F.col("t.id").alias("trigger_id"), F.col("e.id").alias("arg_id"), S.marked_pair(t, F.col("t"), F.col("e")).alias("marked"))
