@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vanloom.llm import abuse, copies, encoding, lookalike, mixing, overlap, packing, sampling, segment, splits
-from vanloom.session import table
+from vanloom.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,11 +66,11 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return segment.units(table(spark, d, "articles")).select("doc_id", "sent_start", "sent_end")
+    return segment.units(spread(table(spark, d, "articles").select("doc_id", "Content", "lang"))).select("doc_id", "sent_start", "sent_end")
 
 
 def p8_bins(spark: SparkSession, d: str) -> DataFrame:
-    return packing.fill(table(spark, d, "documents"), table(spark, d, "containers"))
+    return packing.fill(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "containers"))
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +87,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.abusive(table(spark, d, "documents"))
+    return abuse.abusive(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
