@@ -1,0 +1,27 @@
+import os
+
+import pytest
+
+from tests.oracle import check
+from vanloom.plans.core import ORACLE, QUERIES
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_equals_sql(spark, name):
+    check(spark, DATA, QUERIES[name], ORACLE[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
+def test_query_without_sql_runs(spark, name):
+    df = QUERIES[name](spark, DATA)
+    assert df.columns and df.count() >= 0
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -33,11 +33,24 @@ def fold(text: str) -> tuple[str, list[int]]:
     return "".join(chars), at
 
 
+def _wordlike(c: str) -> bool:
+    return c.isalnum() or c == "_" or unicodedata.combining(c) != 0
+
+
 def locate(text: str, mention: str) -> list[tuple[int, int]]:
     """All whole-word occurrences of a mention, white space being flexible: in its own case, else in any."""
-    body = r"\s+".join(regex.escape(w) for w in mention.split())
-    if not body:
+    words = mention.split()
+    if not words:
         return []
+    if " ".join(words) in text:
+        # The usual case: the mention stands there as written.
+        word, out, at = " ".join(words), [], -1
+        while (at := text.find(word, at + 1)) >= 0:
+            if not (at and _wordlike(text[at - 1])) and not (at + len(word) < len(text) and _wordlike(text[at + len(word)])):
+                out.append((at, at + len(word)))
+        if out and "  " not in text and "\n" not in text and "\t" not in text:
+            return out
+    body = r"\s+".join(regex.escape(w) for w in words)
     for flags in (0, regex.I):
         got = [m.span() for m in regex.finditer(rf"(?<!\w){body}(?!\w)", text, flags)]
         if got:
@@ -64,6 +77,13 @@ def offsets(text: str, tokens: list[str]) -> tuple[list[tuple[int, int]], str |
     """Offsets of tokens in order: exact in any case, underscores standing for spaces, else without accents; only blanks may be skipped."""
     out, at = [], 0
     for tok in tokens:
+        skip = at
+        while skip < len(text) and (text[skip].isspace() or text[skip] == "_"):
+            skip += 1
+        if tok and text[skip : skip + len(tok)].lower() == tok.lower():
+            out.append((skip, skip + len(tok)))
+            at = skip + len(tok)
+            continue
         body = r"[\s_]*".join(regex.escape(p) for p in tok.split("_") if p)
         m = regex.compile(rf"[\s_]*({body})", regex.I).match(text, at) if body else None
         if m is None and body:

@@ -69,6 +69,7 @@ class RuleRecogniser:
         self.dictionary = [(label, self._words(p), len(p)) for label, some in (dictionary or {}).items() for p in some]
         self.cues = sorted((c.split() for c in V.ORG_CUES_B), key=len, reverse=True)
         self.units = sorted((u.split() for u in V.PLACE_UNITS_B), key=len, reverse=True)
+        self.unit_ends = {u[-1] for u in self.units}
         self.roles = [r.split() for r in V.ROLE_PHRASES_B]
         self.inner, self.surnames, self.titles = set(V.ORG_INNER_B), set(V.SURNAMES_B), set(V.TITLES_B)
         self.fixed = [(lab, self._words(p), len(p)) for lab, some in (("DRUG", V.DRUG_TERMS_B), ("PRODUCT", V.PRODUCT_TERMS_B), ("CRIME", V.CRIME_TERMS_B)) for p in some]
@@ -76,6 +77,11 @@ class RuleRecogniser:
         self.times = [(regex.compile(p, regex.I), n) for p, n in V.TIMES_B]
         self.money = regex.compile(V.MONEY_B, regex.I)
         self.brand = regex.compile(r"(?:" + "|".join(V.BRAND_HEADS_B) + r")\s*,?\s*(?:nhãn\s+)?hiệu\s+\p{Lu}[\p{L}\p{N}]*(?:\s+\p{Lu}[\p{L}\p{N}]*)*", regex.I & 0)
+        # Phrases by their first word, so that a token is compared only with phrases it may begin.
+        self.by_first: dict[str, list[tuple[str, list[str], int]]] = {}
+        for kind, some in (("dictionary", [(lab, w, 120 + n) for lab, w, n in self.dictionary]), ("phrase", [(lab, w, 90 + n) for lab, w, n in self.fixed]), ("place", [("LOCATION", w, 72 + n) for w, n in self.places]), ("cue", [("", w, 0) for w in self.cues]), ("unit", [("", w, 0) for w in self.units]), ("role", [("", w, 0) for w in self.roles])):
+            for lab, w, n in some:
+                self.by_first.setdefault(f"{kind}:{w[0]}", []).append((lab, w, n))
         self.token = regex.compile(r"[\p{L}\p{M}\p{N}]+|[^\w\s]")
 
     @staticmethod
@@ -113,11 +119,12 @@ class RuleRecogniser:
             return i + (m.end() if m else 0)
 
         before = lambda i: low[i - 1] if i else ""
+        some = lambda kind, i: self.by_first.get(f"{kind}:{low[i]}", ()) if i < len(low) else ()
         for i in range(len(toks)):
-            for label, words, size in self.dictionary:
+            for label, words, rank in some("dictionary", i):
                 if at(i, words):
-                    add(i, i + len(words), label, "dictionary", 120 + size)
-            for words in self.cues:
+                    add(i, i + len(words), label, "dictionary", rank)
+            for _, words, _ in some("cue", i):
                 if at(i, words):
                     upper = cls[i] == "C"
                     if words == ["ca"] and toks[i][2] != "CA":
@@ -130,30 +137,30 @@ class RuleRecogniser:
                 if cls[i] == "C":
                     n = next((len(w.split()) for w in V.ORG_ALONE_B if at(i, w.split())), 1)
                     add(i, i + n, "ORGANIZATION", "alone", 110)
-            if low[i] in ("ở", "tại", "thuộc") and not any(at(i + 1, c) for c in self.cues) and not any(at(i + 1, u) for u in self.units):
+            if low[i] in ("ở", "tại", "thuộc") and not any(at(i + 1, w) for kind in ("cue", "unit") for _, w, _ in some(kind, i + 1)):
                 add(i + 1, extent(i + 1, r"C{1,6}"), "LOCATION", "preposition", 65)
-            for unit in self.units:
+            for _, unit, _ in some("unit", i):
                 if at(i, unit):
                     start = i + len(unit) + (cls[i + len(unit) : i + len(unit) + 1] == ".")
                     end = extent(start, r"(?:C{1,4}|N)")
                     if end > start:
                         add(i, end, "LOCATION", "unit", 80)
                     break
-            for words, size in self.places:
-                if cls[i] == "C" and at(i, words) and before(i) != "người" and not any(before(i) == u[-1] for u in self.units):
-                    add(i, i + len(words), "LOCATION", "gazetteer", 72 + size)
+            for label, words, rank in some("place", i):
+                if cls[i] == "C" and at(i, words) and before(i) != "người" and before(i) not in self.unit_ends:
+                    add(i, i + len(words), label, "gazetteer", rank)
             if low[i] in self.titles:
                 add(i + 1, extent(i + 1, r"C{1,4}"), "PERSON", "title", 85)
-            for words in self.roles:
+            for _, words, _ in some("role", i):
                 if at(i, words):
                     add(i + len(words), extent(i + len(words), r"C{1,4}"), "PERSON", "role", 60)
             if cls[i] == "C" and low[i] in self.surnames and (not i or cls[i - 1] != "C"):
                 end = extent(i, r"C{2,4}")
-                if end - i >= 2 and before(i) not in [u[-1] for u in self.units]:
+                if end - i >= 2 and before(i) not in self.unit_ends:
                     add(i, end, "PERSON", "surname", 35)
-            for label, words, size in self.fixed:
+            for label, words, rank in some("phrase", i):
                 if at(i, words) and not (words == ["dao"] and low[i + 1 : i + 2] == ["động"]):
-                    add(i, i + len(words), label, "phrase", 90 + size)
+                    add(i, i + len(words), label, "phrase", rank)
         starts, ends = {t[0] for t in toks}, {t[1] for t in toks}
         # Regular expressions count where both ends are token ends.
         for rx, label, rule, priority in [*((rx, "TIME", "time", n) for rx, n in self.times), (self.money, "MONEY", "money", 105), (self.brand, "PRODUCT", "brand", 95)]:

@@ -38,10 +38,10 @@ def label_scores(gold: DataFrame, pred: DataFrame, keys: list[str], labels: list
     flags = matched(gold, pred, keys)
     per = counts(flags, ["label"])
     spark = gold.sparkSession
-    dim = spark.createDataFrame([(x,) for x in labels], "label string")
+    dim = spark.createDataFrame([(x,) for x in (*labels, "ALL")], "label string")
     zero = dict.fromkeys(("tp", "fp", "fn"), 0)
-    rows = F.broadcast(dim).join(per, "label", "left").na.fill(zero)
-    return with_scores(rows.unionByName(counts(flags.withColumn("label", F.lit("ALL")), ["label"])))
+    both = per.where(F.col("label") != "ALL").unionByName(counts(flags.withColumn("label", F.lit("ALL")), ["label"]))
+    return with_scores(F.broadcast(dim).join(both, "label", "left").na.fill(zero))
 
 
 def event_views(records: DataFrame) -> dict[str, DataFrame]:
