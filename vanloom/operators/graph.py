@@ -14,7 +14,7 @@ MAX_ROUNDS = 60
 def components(nodes: DataFrame, edges: DataFrame, *, node: str = "node", a: str = "a", b: str = "b") -> DataFrame:
     """``(node, root)`` for every node; ``root`` is the smallest node of its component.
 
-    Each round hooks every node to the smallest of its neighbours, halves the resulting chains by
+    Each round hooks every node to the smallest of its neighbours, resolves the resulting chains by
     pointer jumping, and contracts the edges to the new roots, so the edge set shrinks each
     round. Nodes without edges are their own root; null nodes and edges with a null end are ignored.
     """
@@ -28,9 +28,14 @@ def components(nodes: DataFrame, edges: DataFrame, *, node: str = "node", a: str
         both = links.unionByName(links.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
         hook = both.groupBy(F.col("lo").alias("from_")).agg(F.min("hi").alias("near"))
         hook = cut(hook.select("from_", F.least("from_", "near").alias("to_")))
-        # Pointer jumping: to(from) := to(to(from)); every target has a row of its own in hook.
-        up = hook.select(F.col("from_").alias("to_"), F.col("to_").alias("top"))
-        hook = cut(hook.join(up, "to_").select("from_", F.col("top").alias("to_")))
+        # Pointer jumping until no pointer moves: to(from) := to(to(from)). The distance covered doubles each time.
+        while True:
+            up = hook.select(F.col("from_").alias("to_"), F.col("to_").alias("top"))
+            nxt = cut(hook.join(up, "to_").select("from_", F.col("top").alias("to_"), (F.col("top") != F.col("to_")).alias("moved")))
+            done = nxt.where("moved").isEmpty()
+            hook = nxt.drop("moved")
+            if done:
+                break
         labels = labels.join(hook, labels["root"] == hook["from_"], "left").select(node, F.coalesce("to_", "root").alias("root"))
         labels = cut(labels)
         lo = hook.select(F.col("from_").alias("lo"), F.col("to_").alias("lo2"))

@@ -10,7 +10,7 @@ from vanloom.functions import text as T
 from vanloom.operators import align, annotation, entities, events, lint, metrics, models
 from vanloom.operators import vocabulary as V
 from vanloom.plans.registry import finditer, query
-from vanloom.session import table
+from vanloom.session import spread, table
 from vanloom.sources import io
 
 CAPITALS = r"\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)+"
@@ -23,6 +23,11 @@ def _anno(s, d) -> DataFrame:
     return table(s, d, "to_annotate").where("sentence is not null")
 
 
+def _sents(s, d) -> DataFrame:
+    """Sentences for the dear row-local functions."""
+    return spread(table(s, d, "sentences").where("sentence is not null").select("row_id", "sentence"))
+
+
 def _gold_arrays(s, d) -> DataFrame:
     return _anno(s, d).select("row_id", "sentence", S.located(F.col("sentence"), S.parse_entities(F.col("entities"))).alias("spans"))
 
@@ -266,7 +271,7 @@ def agg21_annotation_stats(s, d):
 
 @query()
 def trg_a_preannotation(s, d):
-    return _flat(table(s, d, "sentences").where("sentence is not null").select("row_id", events.triggers_a(F.col("sentence")).alias("spans")))
+    return _flat(_sents(s, d).select("row_id", events.triggers_a(F.col("sentence")).alias("spans")))
 
 
 @query("SELECT row_id, regexp_matches(lower(sentence), 'khởi tố|thu giữ|bắt quả tang') AS has_keyword FROM sentences")
@@ -276,12 +281,12 @@ def flt06_keyword_presence(s, d):
 
 @query()
 def trg_b_baseline(s, d):
-    return _flat(table(s, d, "sentences").where("sentence is not null").select("row_id", events.triggers(F.col("sentence"), None, "baseline").alias("spans")))
+    return _flat(_sents(s, d).select("row_id", events.triggers(F.col("sentence"), None, "baseline").alias("spans")))
 
 
 @query()
 def trg_c_service(s, d):
-    return _flat(table(s, d, "sentences").where("sentence is not null").select("row_id", events.triggers(F.col("sentence"), None, "service").alias("spans")))
+    return _flat(_sents(s, d).select("row_id", events.triggers(F.col("sentence"), None, "service").alias("spans")))
 
 
 @query()
@@ -308,23 +313,23 @@ def rel_c_scored_roles(s, d):
 
 @query()
 def ner_a_preannotation(s, d):
-    return _flat(table(s, d, "sentences").where("sentence is not null").select("row_id", entities.entities(F.col("sentence"), "preannotation").alias("spans")))
+    return _flat(_sents(s, d).select("row_id", entities.entities(F.col("sentence"), "preannotation").alias("spans")))
 
 
 @query()
 def ner_b_rules(s, d):
-    return _flat(table(s, d, "sentences").where("sentence is not null").select("row_id", entities.entities(F.col("sentence")).alias("spans")))
+    return _flat(_sents(s, d).select("row_id", entities.entities(F.col("sentence")).alias("spans")))
 
 
 @query()
 def ner_b_provenance(s, d):
-    rows = table(s, d, "sentences").where("sentence is not null").select("row_id", F.explode(entities.explained(F.col("sentence"))).alias("c"))
+    rows = _sents(s, d).select("row_id", F.explode(entities.explained(F.col("sentence"))).alias("c"))
     return rows.groupBy("c.rule", "c.label").agg(F.count("*").alias("candidates"), F.count_if("c.selected").alias("selected"))
 
 
 @query()
 def spn14_aligned(s, d):
-    rec = _anno(s, d).select("row_id", align.aligned(F.col("sentence"), S.parse_entities(F.col("entities"))).alias("r"))
+    rec = spread(_anno(s, d).select("row_id", "sentence", "entities")).select("row_id", align.aligned(F.col("sentence"), S.parse_entities(F.col("entities"))).alias("r"))
     return rec.select("row_id", F.size("r.tokens").alias("tokens"), F.size("r.entities").alias("entities"), F.col("r.removed").alias("removed"), F.col("r.error").alias("error"))
 
 
@@ -361,7 +366,7 @@ def rel_f_records(s, d):
 
 @query()
 def mdl06_pipeline(s, d):
-    out = models.pipeline(table(s, d, "sentences").select("row_id", "sentence"))
+    out = models.pipeline(spread(table(s, d, "sentences").select("row_id", "sentence")))
     return out.select("row_id", "status", F.size("entities").alias("entities"), F.size("triggers").alias("triggers"), F.size("events").alias("events"))
 
 

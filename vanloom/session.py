@@ -35,3 +35,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows are written once to the shared folder and lineage ends there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has fewer partitions than the cluster has cores (a small file is one
+    partition); larger inputs are left as they are, without a shuffle. For row-local work that is dear per row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
