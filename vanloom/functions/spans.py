@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vanloom.functions.text import at
+
 LETTER = r"\p{L}"
 
 
@@ -88,7 +90,7 @@ def exact_text(text: Column, s: Column) -> Column:
 def nearest_before(spans: Column, position: Column) -> Column:
     """The last span, in array order, that ends at or before the position; null if none."""
     some = F.filter(spans, lambda s: s["end"] <= position)
-    return F.when(F.size(some) > 0, F.element_at(some, -1))
+    return F.when(F.size(some) > 0, at(some, -1))
 
 
 def highlight(text: Column, spans: Column) -> Column:
@@ -143,7 +145,7 @@ def cut_at(spans: Column, cuts: Column) -> Column:
     def one(s: Column) -> Column:
         inner = F.array_sort(F.array_distinct(F.filter(cuts, lambda c: (c > s["start"]) & (c < s["end"]))))
         edges = F.concat(F.array(s["start"]), inner, F.array(s["end"]))
-        return F.transform(F.slice(edges, 1, F.size(edges) - 1), lambda a, i: F.struct(a.alias("start"), F.element_at(edges, i + 2).alias("end")))
+        return F.transform(F.slice(edges, 1, F.size(edges) - 1), lambda a, i: F.struct(a.alias("start"), at(edges, i + 2).alias("end")))
 
     return F.flatten(F.transform(spans, one))
 
@@ -153,7 +155,7 @@ def bio_encode(tokens: Column, spans: Column) -> Column:
 
     def tag(t: Column) -> Column:
         inside = F.filter(spans, lambda s: (s["start"] <= t["start"]) & (t["end"] <= s["end"]))
-        first = F.element_at(inside, 1)
+        first = at(inside, 1)
         return F.when(F.size(inside) == 0, "O").otherwise(F.concat(F.when(first["start"] == t["start"], "B-").otherwise("I-"), first["label"]))
 
     return F.transform(tokens, tag)
@@ -166,7 +168,7 @@ def bio_decode(tokens: Column, labels: Column, text: Column) -> Column:
 
     def step(acc: Column, p: Column) -> Column:
         kind, name = F.substring(p["l"], 1, 1), p["l"].substr(F.lit(3), F.length(p["l"]))
-        last = F.element_at(acc, -1)
+        last = at(acc, -1)
         go_on = (F.size(acc) > 0) & (kind == "I") & F.coalesce(F.when(F.size(acc) > 0, last["open"] & (last["label"] == name)), F.lit(False))
         head = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
         new = F.struct(p["t"]["start"].cast("int").alias("start"), p["t"]["end"].cast("int").alias("end"), name.alias("label"), F.lit(True).alias("open"))

@@ -32,6 +32,11 @@ def nfd(text: Column) -> Column:
     return F.pandas_udf(_normal("NFD"), "string")(text)
 
 
+def at(array: Column | str, i: Column | int) -> Column:
+    """Element i, from 1 or from the end for negative numbers; null where there is none."""
+    return F.try_element_at(array, i if isinstance(i, Column) else F.lit(i))
+
+
 def composed(text: Column) -> Column:
     """NFC that leaves the JVM only for texts with combining marks or characters that NFC may change."""
     return F.when(text.rlike(r"[̀-ͯ̀-ͅʹ;·ऀ-෿ἀ-῿ -⁯Ω-Å゙゚豈-﫿]"), nfc(text)).otherwise(text)
@@ -115,7 +120,7 @@ def merge_fragments(sentences: Column) -> Column:
     return F.aggregate(
         sentences,
         F.array().cast("array<string>"),
-        lambda acc, s: F.when((F.size(acc) > 0) & fragment(s), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat_ws(" ", F.element_at(acc, -1), s)))).otherwise(F.concat(acc, F.array(s))),
+        lambda acc, s: F.when((F.size(acc) > 0) & fragment(s), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat_ws(" ", at(acc, -1), s)))).otherwise(F.concat(acc, F.array(s))),
     )
 
 

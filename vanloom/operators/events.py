@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vanloom.functions.text import at
+
 from vanloom.functions import spans as S
 from vanloom.operators import vocabulary as V
 
@@ -277,7 +279,7 @@ def pairs(trigs: Column, entities: Column, relations: Column) -> Column:
 
         def role(e: Column) -> Column:
             r = F.filter(relations, lambda r: (r["trigger_id"] == t["id"]) & (r["arg_id"] == e["id"]))
-            return F.when(F.size(r) > 0, F.element_at(r, 1)["role"]).otherwise("NONE")
+            return F.when(F.size(r) > 0, at(r, 1)["role"]).otherwise("NONE")
 
         return F.transform(free, lambda e: F.struct(t["id"].alias("trigger_id"), e["id"].alias("arg_id"), role(e).alias("role")))
 
@@ -287,5 +289,5 @@ def pairs(trigs: Column, entities: Column, relations: Column) -> Column:
 def choose_role(scores: Column, label: Column, roles: list[str]) -> Column:
     """The best admissible role of a scorer's logits (one per role, NONE first); inadmissible roles are masked out."""
     names = F.array(*[F.lit(r) for r in ("NONE", *roles)])
-    masked = F.transform(scores, lambda x, i: F.when((i == 0) | admits(F.element_at(names, i + 1), label), x).otherwise(F.lit(float("-inf"))))
-    return F.element_at(names, F.array_position(masked, F.array_max(masked)).cast("int"))
+    masked = F.transform(scores, lambda x, i: F.when((i == 0) | admits(at(names, i + 1), label), x).otherwise(F.lit(float("-inf"))))
+    return at(names, F.array_position(masked, F.array_max(masked)).cast("int"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vanloom.functions import spans as S
+from vanloom.functions.text import at
 from vanloom.operators import vocabulary as V
 
 # Words and phrases the checks look for.
@@ -48,7 +49,7 @@ def issues(rec: DataFrame) -> Column:
     after = lambda s, n: text.substr(s["end"] + 1, F.lit(n))
     proc = F.exists(trigs, lambda t: t["label"].isin(*V.PROCEDURAL_EVENTS))
     spans = F.concat(ents, trigs)
-    by_id = lambda i: F.element_at(F.filter(spans, lambda s: s["id"] == i), 1)
+    by_id = lambda i: at(F.filter(spans, lambda s: s["id"] == i), 1)
     is_trigger = lambda i: F.exists(trigs, lambda t: t["id"] == i)
     known = F.filter(rels, lambda r: F.exists(spans, lambda s: s["id"] == r["from_id"]) & F.exists(spans, lambda s: s["id"] == r["to_id"]))
     arrow = lambda r: F.concat_ws(" -> ", by_id(r["from_id"])["text"], by_id(r["to_id"])["text"])
@@ -92,7 +93,7 @@ def violations(rec: DataFrame, key: str) -> DataFrame:
     """``key, code, detail`` of structural errors: text and offsets, unknown types, dangling ids, unknown or inadmissible roles."""
     text = F.col("sentence")
     ents, trigs, rels = F.col("entities"), F.col("triggers"), F.col("relations")
-    by = lambda spans, i: F.element_at(F.filter(spans, lambda s: s["id"] == i), -1)
+    by = lambda spans, i: at(F.filter(spans, lambda s: s["id"] == i), -1)
     from vanloom.operators.events import admits
 
     bad = lambda spans, code, test: F.transform(F.filter(spans, test), lambda s: F.struct(F.lit(code).alias("code"), s["id"].alias("detail")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vanloom.functions.text import at
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -51,7 +53,7 @@ def event_views(records: DataFrame) -> dict[str, DataFrame]:
     mine = F.filter("relations", lambda r: r["trigger_id"] == F.col("t.id"))
 
     def arg(r: Column) -> Column:
-        x = F.element_at(F.filter(F.col("entities"), lambda e: e["id"] == r["arg_id"]), -1)
+        x = at(F.filter(F.col("entities"), lambda e: e["id"] == r["arg_id"]), -1)
         return F.struct(x["start"].alias("s"), x["end"].alias("e"), r["role"].alias("role"))
 
     args = F.array_sort(F.array_distinct(F.filter(F.transform(mine, arg), lambda a: a["s"].isNotNull())))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vanloom.functions.text import at
+
 from vanloom.functions import text as T
 from vanloom.operators import dedup, sampling
 from vanloom.plans.registry import _SPACE, collapse, norm, query, words
@@ -95,7 +97,7 @@ def txt08_sentences(s, d):
     """Split, fragments merged, lead equal to the summary dropped, ids before the length filter, 5 to 100 words."""
     rows = table(s, d, "articles").where("Content is not null")
     parts = rows.select("doc_id", "SubLabel", "Summarize", T.merge_fragments(T.rough_sentences(T.detokenize(F.col("Content")))).alias("sents"))
-    lead = T.norm_key(F.element_at("sents", 1)) == T.norm_key(T.detokenize(F.col("Summarize")))
+    lead = T.norm_key(at("sents", 1)) == T.norm_key(T.detokenize(F.col("Summarize")))
     sents = F.when((F.size("sents") > 0) & F.coalesce(lead, F.lit(False)), F.slice("sents", 2, F.greatest(F.size("sents") - 1, F.lit(0)))).otherwise(F.col("sents"))
     out = parts.select("doc_id", "SubLabel", F.posexplode(sents).alias("sent_id", "sentence"))
     return out.withColumn("n_words", T.n_words(F.col("sentence"))).where("n_words between 5 and 100")
