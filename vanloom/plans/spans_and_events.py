@@ -177,8 +177,9 @@ def jon08_same_clause(s, d):
 @query(f"WITH {_HITS}, {_PREDS} SELECT h.row_id, h.\"start\", h.label, max(p.\"end\") AS nearest_end FROM hits h LEFT JOIN pred p ON p.row_id = h.row_id AND p.\"end\" <= h.\"start\" GROUP BY ALL")
 def jon09_nearest_preceding(s, d):
     t = F.col("sentence")
-    rows = _anno(s, d).select("row_id", F.explode(S.phrases(t, WORDS)).alias("h"), F.array_sort(F.concat(*[S.finditer(t, rx, k) for k, rx in PRED.items()])).alias("p"))
-    near = S.nearest_before(F.transform("p", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))), F.col("h.start"))
+    ends = F.transform(F.concat(*[S.finditer(t, rx, k) for k, rx in PRED.items()]), lambda x: F.struct(x["end"].alias("end"), x["start"].alias("start")))
+    rows = _anno(s, d).select("row_id", F.explode(S.phrases(t, WORDS)).alias("h"), F.array_sort(ends).alias("p"))
+    near = S.nearest_before(F.col("p"), F.col("h.start"))
     return rows.select("row_id", F.col("h.start").alias("start"), F.col("h.label").alias("label"), near["end"].alias("nearest_end")).distinct()
 
 
