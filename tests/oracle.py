@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 
 
 def connect(folder):
@@ -16,7 +17,7 @@ def connect(folder):
 
 def canonical(df):
     def one(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
             return None
         if isinstance(v, bool) or type(v).__name__ in ("bool", "bool_"):
             return str(bool(v))
