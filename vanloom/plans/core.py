@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from vanloom.plans.registry import ORACLE, QUERIES
-from vanloom.plans import corpus, profiles, spans_and_events  # noqa: F401  (they register their queries)
+from vanloom.plans import corpus, coverage, profiles, spans_and_events  # noqa: F401  (they register their queries)
 
 __all__ = ["ORACLE", "QUERIES"]
