@@ -64,7 +64,8 @@ LATIN = (
     _rule(False, r"", r"\s*[,;:)\]]|\s*" + _DASH + r"|\s*\(\s?\p{Ll}|\s*\p{Ll}"),
     # Without a space: only between a word or number and a new capitalised word, or at a quotation.
     _rule(True, r"(?:[\p{Ll}\p{N}%²”\"»)]|\p{L}{2}|\p{L}\p{M})\s?[.!?…\s]*[.!?…][”\"»’)]*", r"\p{Lu}(?:\p{Ll}|\p{Lu}+\s)|[“«]"),
-    _rule(True, r"[\p{Ll}%”\"»)]\s?[.!?…\s]*[.!?…]", rf"\d+\s\p{{L}}|\p{{Lu}}\.\s?\p{{Lu}}|(?:{_VI_ABBR}|Mr|Mrs|Dr|M)\s?\.\s?\p{{Lu}}"),
+    _rule(True, r"[\p{Ll}%”\"»)]\s?[.!?…\s]*[.!?…]", r"\d+\s\p{L}|\p{Lu}\.\s?\p{Lu}"),
+    _rule(True, r"(?:[\p{L}\p{N}]{2}|[%”\"»)])\s?[.!?…\s]*[.!?…]", rf"(?:(?:{_VI_ABBR}|Mr|Mrs|Dr)\s?\.\s?)+\p{{Lu}}"),
     _rule(True, rf"(?:\p{{Lu}}\p{{Ll}}+\s|\p{{Lu}}\.\s?|(?<!\p{{L}})(?:{_VI_TITLE})\s)\p{{Lu}}\s?\.", rf"\p{{Lu}}\p{{Ll}}+\s|\p{{Lu}}{{2,}}|(?:{_VI_ABBR})\s?\.\s?\p{{Lu}}"),
     _rule(False, r"\S", r"\S"),
     _rule(True, r"", rf"\s+{_OPEN}[\p{{Lu}}\p{{Lt}}\p{{Lo}}\p{{N}}]|\s*$|\s+[“\"«‘(\[]|\s+[^\p{{L}}\p{{N}}\s]"),
