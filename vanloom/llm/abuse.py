@@ -285,7 +285,7 @@ def _letters() -> np.ndarray:
 
 
 class Sieve:
-    """Finds the texts that may reach the threshold: any hostile phrase, or sexual ones of enough weight together.
+    """Finds the texts that the grammar may give any weight: those with a hostile or sexual phrase.
 
     The first transducer in its coarsest form: all accents, spaces, separators and repetitions are dropped, digits
     are letters. Short phrases are looked for as whole words; masked letters always count. It lets through more than the
@@ -294,21 +294,16 @@ class Sieve:
 
     def __init__(self, grammar: Grammar):
         self.auto = ahocorasick.Automaton()
-        best: dict[str, tuple[float, float]] = {}
         short = []
-        for words, name, weight in grammar.phrases:
+        for words, name, _ in grammar.phrases:
             if name not in (*_HOSTILE, "sexual"):
                 continue
             longest = max("".join(words).split("*"), key=len) if "*" in words else "".join(words)
             key = _once(plain(longest))
-            hostile, sexual = (weight, 0.0) if name != "sexual" else (0.0, weight)
             if len(key) >= LONG:
-                old = best.get(key, (0.0, 0.0))
-                best[key] = (max(old[0], hostile), max(old[1], sexual))
-            elif name != "sexual" or weight >= THRESHOLD:
+                self.auto.add_word(key, key)
+            else:
                 short.append(" ".join(words))
-        for i, (key, w) in enumerate(best.items()):
-            self.auto.add_word(key, (i, *w))
         self.auto.make_automaton()
         gap = r"[\s._~=|+\-\x{ad}\x{200b}-\x{200f}\x{2060}\x{feff}]*"
         self.short = r"(?i)(?:^|[^\p{L}])(?:" + "|".join(gap.join(re2(c) for c in w.replace(" ", "")) for w in short) + r")(?:[^\p{L}]|$)"
@@ -328,12 +323,8 @@ class Sieve:
             keep[1:] = (f[1:] != f[:-1]) | (f[1:] == 10)
             f = f[keep]
             ends = np.flatnonzero(f == 10)
-            weight: dict[int, dict[int, tuple[float, float]]] = {}
-            for at, (i, hostile, sexual) in self.auto.iter(f.tobytes().decode("latin-1")):
-                weight.setdefault(int(np.searchsorted(ends, at)), {})[i] = (hostile, sexual)
-            for doc, got in weight.items():
-                if any(h for h, _ in got.values()) or sum(s for _, s in got.values()) >= THRESHOLD:
-                    out[k + doc] = True
+            for at, _ in self.auto.iter(f.tobytes().decode("latin-1")):
+                out[k + int(np.searchsorted(ends, at))] = True
         return out
 
 
@@ -368,7 +359,7 @@ def score_all(texts: pa.Array, grammar: Grammar, sieve: Sieve) -> list[float]:
 
 
 def scored(docs: DataFrame, text: str = "text", grammar: Grammar | None = None) -> DataFrame:
-    """``docs`` with ``abuse_score``; a document is abusive from THRESHOLD on. Clauses that the sieve excludes, all of lower weight, count 0."""
+    """``docs`` with ``abuse_score``; a document is abusive from THRESHOLD on."""
 
     @F.pandas_udf("double")
     def weigh(texts: pd.Series) -> pd.Series:
