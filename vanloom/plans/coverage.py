@@ -112,11 +112,9 @@ def txt25_similarity(s, d):
 
 @query()
 def jon13_fuzzy_leakage(s, d):
-    """Annotation rows whose sentence nearly repeats one of another split."""
+    """Annotation rows whose sentence nearly repeats an earlier one of another split, with the first such row of each."""
     rows = _anno(s, d).select("row_id", "split", "sentence")
-    near = dedup.fuzzy(rows).where("kept_as is not null").select("row_id", "split", "kept_as")
-    other = rows.select(F.col("row_id").alias("kept_as"), F.col("split").alias("kept_split"))
-    return near.join(other, "kept_as").where("split <> kept_split").select("row_id", "kept_as", "split", "kept_split")
+    return dedup.near_across(rows).select(F.col("id").alias("row_id"), F.col("other").alias("kept_as"), "split", F.col("other_split").alias("kept_split"))
 
 
 @query()
