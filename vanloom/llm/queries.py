@@ -34,7 +34,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "raw_articles")
-    return overlap.report(rows, overlap.overlaps(rows))
+    return overlap.report(rows)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
