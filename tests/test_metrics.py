@@ -72,7 +72,14 @@ def test_error_categories(spark):
     text = spark.createDataFrame([(1, "a"), (2, "TP. x")], "row_id int, sentence string")
     got = {(r.row_id, r.category) for r in metrics.sentence_errors(gold, pred, text).collect()}
     assert {(1, "entity_type_mismatch"), (1, "organization_predicted_as_location"), (1, "entity_boundary_mismatch"), (1, "multiple_entities"), (2, "entity_missing"), (2, "abbreviation")} <= got
-    assert (1, "entity_missing") not in got
+    # A span without an exact partner is missing or extra, also where it overlaps another one.
+    assert {(1, "entity_missing"), (1, "entity_extra"), (1, "person_misrecognized")} <= got and (2, "entity_extra") not in got
+
+
+def test_error_categories_of_one_span_cut_short(spark):
+    gold, pred = spark.createDataFrame([(1, 0, 5, "PERSON")], SPAN), spark.createDataFrame([(1, 0, 3, "PERSON")], SPAN)
+    got = {r.category for r in metrics.sentence_errors(gold, pred, spark.createDataFrame([(1, "An Văn"), (2, None)], "row_id int, sentence string")).collect()}
+    assert got == {"entity_missing", "entity_extra", "entity_boundary_mismatch", "person_misrecognized"}
 
 
 def test_trigger_errors(spark):

@@ -179,3 +179,19 @@ def test_tasks_to_records(spark):
     got = annotation.records(spark.createDataFrame(tasks, annotation.TASK)).collect()
     assert [r.source for r in got] == ["gold", "silver", "none", "gold"]
     assert got[0].relations == [("x", "y", "DOI_TUONG")] and got[3].entities == []
+
+
+def test_ranks_and_cuts_without_a_sort(spark):
+    from vanloom.operators import ranks, sampling
+
+    rows = spark.range(5000).select(F.col("id"), (F.col("id") % 3).alias("g"))
+    got = {r.id: r.k for r in ranks.group_rank(rows, "g", ["id"], "k").collect()}
+    assert all(got[i] == i // 3 + 1 for i in range(5000))
+    d = sampling.draw("id")
+    want = sorted(r.d for r in rows.select(d.alias("d")).collect())
+    assert [ranks.nth(rows, d, k)[0] for k in (0, 17, 4999)] == [want[0], want[17], want[4999]] and ranks.nth(rows, d, 5000) is None
+    for n in (0, 1, 1234, 5000, 6000):
+        assert sorted(r.d for r in ranks.lowest(rows, d, n).select(d.alias("d")).collect()) == want[:n]
+    many = rows.unionByName(rows).unionByName(rows)
+    assert ranks.lowest(many, d, 100).count() == 100 and ranks.global_rank(rows.where("false"), ["id"], "k").count() == 0
+    assert ranks.group_rank(spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "g string, i int"), "g", ["i"], "k").count() == 3

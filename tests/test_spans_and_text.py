@@ -81,3 +81,12 @@ def test_similarity_and_fold(spark):
     got = [r.r for r in df.select(T.similarity("a", "b").alias("r")).collect()]
     assert got == [difflib.SequenceMatcher(None, a, b).ratio(), None]
     assert one(spark, "Đỗ", T.accent_fold(F.col("t"))).folded in ("đo", "do")
+
+
+def test_noise_as_the_reference_defines_it(spark):
+    t = F.col("t")
+    text = "Anh nói ... rồi đi. ( Nguồn : VN ) Tin ( Clip dài ) này. - Ảnh : Đ . BÌNH . Hết"
+    assert one(spark, text, T.remove_noise(t)) == "Anh nói ... rồi đi. Tin ( Clip dài ) này. Hết"
+    assert one(spark, "Bắt giữ - Ảnh : Công an cung cấp . Tin", T.remove_noise(t)) == "Bắt giữ . Tin"
+    assert one(spark, "Đồ hoạ : QUANG N.ẨN Tin Xem Clip : hay", T.remove_noise(t)) == ". Tin hay"[2:]
+    assert one(spark, None, T.remove_noise(t)) is None and one(spark, "", T.remove_noise(t)) == ""

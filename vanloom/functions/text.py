@@ -79,24 +79,33 @@ def detokenize(text: Column) -> Column:
     return F.regexp_replace(t, r"([(\[“‘«])\s+", "$1")
 
 
-#: One to four capitalised words.
-_NAME = rf"{UPPER}[{WORD}.]*(?:\s+{UPPER}[{WORD}.]*){{0,3}}"
+#: Capital letters of the Latin blocks and those up to the Vietnamese ones, as a character class without its brackets.
+CAPITAL = "A-Z" + "".join(chr(c) for c in range(0xC0, 0x1EFA) if chr(c).isupper())
+SPACES = SPACE[1:-1]
+
+# Photo captions, clip markers and links, as (pattern, replacement). A caption with a name in capitals
+# and a caption with a source leave a full stop, so that what follows does not join the sentence before.
+_CAPITALS = f"[{CAPITAL}][{CAPITAL}.]*"
+NOISE = (
+    (rf"\({SPACE}*(?:Ảnh|Nguồn){SPACE}*:[^()]{{0,60}}\)", " "),
+    (rf"[-–]?{SPACE}*(?:Ảnh|Đồ hoạ|Đồ họa){SPACE}*:{SPACE}*(?:{_CAPITALS}{SPACE}*\.?{SPACE}*){{1,4}}(?={SPACE}|$)", " . "),
+    (rf"[-–]{SPACE}*Ảnh{SPACE}*:{SPACE}*[^.]{{1,50}}?{SPACE}\.(?={SPACE}|$)", " . "),
+    (rf"(?:XEM CLIP|Xem [Cc]lip|Clip){SPACE}*:{SPACE}*", ""),
+    (rf"https?://[^{SPACES}]+|www\.[^{SPACES}]+", " "),
+)
 
 
 def remove_noise(text: Column) -> Column:
     """Drops photo captions, clip markers and links, then repairs the dots left over."""
-    t = F.regexp_replace(text, r"\(\s*(?:Ảnh|Đồ họa|Video|Clip)\b[^()]{0,80}\)", " ")
-    t = F.regexp_replace(t, rf"(?:Ảnh|Đồ họa)\s*:\s*{_NAME}", " . ")
-    t = F.regexp_replace(t, r"-\s*Ảnh\s*:[^.]{0,50}\.", " . ")
-    t = F.regexp_replace(t, r"(?:XEM CLIP|Xem clip|Clip)\s*:", "")
-    t = F.regexp_replace(t, r"(?:https?://|www\.)\S+", " ")
-    return dots(t)
+    for pattern, new in NOISE:
+        text = F.regexp_replace(text, pattern, new)
+    return dots(text)
 
 
 def dots(text: Column) -> Column:
-    """Runs of spaced dots to one, none at the start."""
-    t = collapse(F.regexp_replace(text, r"(?:\.\s*){2,}", ". "))
-    return F.regexp_replace(t, r"^[.\s]+", "")
+    """Full stops with nothing but spaces between them to one (an ellipsis stays), one at the start dropped, spaces collapsed."""
+    t = F.regexp_replace(text, rf"\.(?:{SPACE}+\.)+", ".")
+    return collapse(F.regexp_replace(t, rf"^{SPACE}*\.{SPACE}*", ""))
 
 
 def token_key(token: Column) -> Column:

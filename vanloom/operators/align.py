@@ -11,6 +11,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vanloom.functions.spans import ALIASES
 from vanloom.operators.vocabulary import ENTITY_LABELS
 
 ALIGNED = "struct<sentence:string,tokens:array<string>,token_offsets:array<struct<start:int,end:int>>,labels:array<string>,entities:array<struct<text:string,label:string,start:int,end:int>>,removed:int,error:string>"
@@ -156,3 +157,41 @@ def aligned(text: Column, mentions: Column, segmenter: Callable[[str], list[str]
         return pd.DataFrame(rows, columns=["sentence", "tokens", "token_offsets", "labels", "entities", "removed", "error"])
 
     return run(text, mentions)
+
+
+def check(sentence: str | None, cell: str | None) -> str | None:
+    """What is wrong with an annotated row, null for nothing. Mentions are looked for from left to right, each from the end of the one before,
+    and from the start of the sentence if there is none further on; then the record is aligned."""
+    sentence = (sentence or "").strip()
+    if not sentence:
+        return "empty sentence"
+    raw = (cell or "").strip()
+    if not raw:
+        return "empty entities"
+    mentions: list[tuple[str, str, int | None, int | None]] = []
+    at = 0
+    for item in () if raw.upper() == "NONE" else filter(None, map(str.strip, raw.split(";"))):
+        text, bar, label = item.rpartition("|")
+        text, label = text.strip(), label.strip().upper()
+        label = ALIASES.get(label, label)
+        if not bar or not text:
+            return f"item without label: {item!r}"
+        if label not in ENTITY_LABELS:
+            return f"unknown label {label}"
+        start = sentence.find(text, at)
+        start = start if start >= 0 else sentence.find(text)
+        if start < 0:
+            return f"mention {text!r} not found"
+        at = start + len(text)
+        mentions.append((text, label, start, at))
+    return align(sentence, mentions)["error"]
+
+
+def checked(sentence: Column, cell: Column) -> Column:
+    """``check`` over rows."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, cells: pd.Series) -> pd.Series:
+        return pd.Series([check(t, c) for t, c in zip(texts, cells, strict=True)], dtype="object")
+
+    return run(sentence, cell)

@@ -186,16 +186,25 @@ class RuleRecogniser:
 _READY: dict[str, object] = {}
 
 
+def _recogniser(engine: str, dictionary: dict[str, list[str]] | None):
+    """The recogniser of this worker, made once for each vocabulary."""
+    key = f"{engine}:{dictionary}"
+    if key not in _READY:
+        _READY[key] = PreAnnotation() if engine == "preannotation" else RuleRecogniser(dictionary)
+    return _READY[key]
+
+
+def recognised(text: str, engine: str = "rules", dictionary: dict[str, list[str]] | None = None) -> list[dict]:
+    """Entities of one text, composed first."""
+    return [dict(zip(("start", "end", "text", "label"), s, strict=True)) for s in _recogniser(engine, dictionary)(unicodedata.normalize("NFC", text))]
+
+
 def entities(text: Column, engine: str = "rules", dictionary: dict[str, list[str]] | None = None) -> Column:
     """Entities by the "rules" (B) or "preannotation" (A) recogniser; texts are composed (NFC) first, as offsets refer to that form."""
 
     @F.pandas_udf(SPAN)
     def find(texts: pd.Series) -> pd.Series:
-        key = f"{engine}:{dictionary}"
-        if key not in _READY:
-            _READY[key] = PreAnnotation() if engine == "preannotation" else RuleRecogniser(dictionary)
-        run = _READY[key]
-        return pd.Series([[dict(zip(("start", "end", "text", "label"), s, strict=True)) for s in run(unicodedata.normalize("NFC", t))] if t else [] for t in texts])
+        return pd.Series([recognised(t, engine, dictionary) if t else [] for t in texts])
 
     return find(text)
 
@@ -205,7 +214,7 @@ def explained(text: Column, dictionary: dict[str, list[str]] | None = None) -> C
 
     @F.pandas_udf(PROVENANCE)
     def find(texts: pd.Series) -> pd.Series:
-        run = RuleRecogniser(dictionary)
+        run = _recogniser("rules", dictionary)
         names = ("start", "end", "text", "label", "rule", "priority", "selected")
         return pd.Series([[dict(zip(names, s, strict=True)) for s in run.explain(unicodedata.normalize("NFC", t))] if t else [] for t in texts])
 

@@ -61,9 +61,7 @@ class BaselineTriggers:
         self.weak = _phrases(V.WEAK_DRUG_VERBS_B)
         self.shield = [_phrases([p]) for p in V.STOP_B]
         self.drug = regex.compile("|".join(map(regex.escape, V.DRUGS_B)), regex.I)
-        self.unreal = regex.compile(r"(?<!\w)(?:" + "|".join(map(regex.escape, V.NOT_HAPPENED_B)) + r")\s+(?:\S+\s+){0,2}$", regex.I)
-        self.cue = regex.compile(r"(?<!\w)(?:" + "|".join(c + (r"(?! phạm| can)" if c == "nghi" else "") for c in V.CLAUSE_CUES_B) + r")(?!\w)", regex.I)
-        self.crime = regex.compile(r"(?:tội|hành vi|tội danh)\s*[\"“]?\s*$", regex.I)
+        self.unreal, self.cue, self.crime = (regex.compile(p, regex.I) for p in (V.NOT_HAPPENED_B, V.CLAUSE_CUES_B, V.CRIME_BEFORE_B))
 
     def __call__(self, text: str, entities: list | None) -> list[tuple[int, int, str]]:
         blocked = [m.span() for rx in self.shield for m in rx.finditer(text)]
@@ -118,7 +116,7 @@ class ServiceTriggers:
     """Engine C: rules with required context; administrative, repeated and unrealised mentions drop out."""
 
     def __init__(self):
-        self.rules = [(_phrases([p], r"(?<!\w)", r"(?!\w)"), *rule) for p, rule in V.RULES_C.items()]
+        self.rules = [(_phrases([p], r"(?<!\w)", r"(?!\w)"), *rule) for p, *rule in V.RULES_C]
         self.shield = [regex.compile(p, regex.I) for p in V.SHIELDS_C]
         self.admin = _phrases(list(V.ADMINISTRATIVE_C), "", "")
 
@@ -175,7 +173,7 @@ def triggers(text: Column, entities: Column | None, engine: str) -> Column:
         run = _engine(engine)
         return pd.Series([[{"id": f"t{i}", "start": a, "end": z, "text": t[a:z], "label": lab} for i, (a, z, lab) in enumerate(run(t, e))] if t else [] for t, e in zip(texts, ents, strict=True)])
 
-    words = [p for some in V.TRIGGERS_B.values() for p in some] + V.WEAK_DRUG_VERBS_B if engine == "baseline" else list(V.RULES_C)
+    words = [p for some in V.TRIGGERS_B.values() for p in some] + V.WEAK_DRUG_VERBS_B if engine == "baseline" else [p for p, *_ in V.RULES_C]
     none = F.array().cast("array<struct<start:int,end:int,text:string,label:string>>")
     ents = none if entities is None else F.transform(entities, lambda e: F.struct(e["start"].cast("int").alias("start"), e["end"].cast("int").alias("end"), e["text"].alias("text"), e["label"].alias("label")))
     gate = text.rlike(S.alternation(words))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vanloom.functions.text import at
+from vanloom.functions.text import WORD, at
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -88,6 +88,50 @@ def trigger_errors(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return both.withColumn("kind", kind).where("kind is not null")
 
 
+def trigger_examples(gold: DataFrame, pred: DataFrame, limit: int = 20) -> DataFrame:
+    """``ann_id, kind, text, gold, pred, sentence`` of the first ``limit`` trigger errors by record and place."""
+    text = gold.groupBy("ann_id").agg(F.max("sentence").alias("sentence"))
+    first = trigger_errors(gold, pred).orderBy("ann_id", "s", "e").limit(limit)
+    said = F.substring(F.col("sentence"), F.col("s") + 1, F.col("e") - F.col("s")).alias("text")
+    return first.join(text, "ann_id").select("ann_id", "kind", said, "gold", "pred", "sentence")
+
+
+# Names of the event metrics in reports.
+EVENT_METRICS = {
+    "trigger_identification": "Trigger Identification",
+    "trigger_classification": "Trigger F1 (vị trí + loại)",
+    "argument_identification": "Argument F1",
+    "relation": "Relation F1 (+ vai trò)",
+    "event": "Event Exact Match",
+}
+
+
+def evaluation(gold: DataFrame, pred: DataFrame) -> dict:
+    """All event scores as one dictionary, ready for JSON: the five metrics, triggers by type, relations by role, and the numbers of gold records
+    and of predictions without one. The driver gets one row per metric, type and role."""
+    known = gold.select("ann_id").distinct()
+    out: dict = {"n_sentences": known.count(), "ignored_extra_predictions": pred.select("ann_id").distinct().join(known, "ann_id", "left_anti").count()}
+    numbers = ("tp", "fp", "fn", "precision", "recall", "f1", "support")
+    for r in event_scores(gold, pred).collect():
+        out[r.metric] = {k: r[k] for k in numbers}
+    g, p = event_views(gold), event_views(pred.join(known, "ann_id", "left_semi"))
+    for name, view, by in (("trigger_by_type", "trigger_classification", "label"), ("relation_by_role", "relation", "role")):
+        rows = with_scores(counts(matched(g[view], p[view], g[view].columns), [by])).orderBy(by).collect()
+        out[name] = {r[by]: {k: r[k] for k in numbers} for r in rows}
+    return out
+
+
+def format_report(result: dict, title: str = "") -> str:
+    """The text report of an ``evaluation``."""
+    lines = [f"===== {title} ({result['n_sentences']} câu) =====" if title else "", f"{'Chỉ số':30s} {'P':>7s} {'R':>7s} {'F1':>7s} {'TP':>5s} {'FP':>5s} {'FN':>5s}"]
+    for key, name in EVENT_METRICS.items():
+        m = result.get(key) or dict.fromkeys(("tp", "fp", "fn", "precision", "recall", "f1"), 0)
+        lines.append(f"{name:30s} {m['precision']:7.4f} {m['recall']:7.4f} {m['f1']:7.4f} {m['tp']:5d} {m['fp']:5d} {m['fn']:5d}")
+    for key, name in (("trigger_by_type", "Trigger theo loại"), ("relation_by_role", "Relation theo vai trò")):
+        lines += ["", f"{name}:"] + [f"  {k:28s} {m['precision']:7.4f} {m['recall']:7.4f} {m['f1']:7.4f}   gold={m['support']}" for k, m in result[key].items()]
+    return "\n".join(lines)
+
+
 def class_weights(labels: DataFrame, power: float = 0.5) -> DataFrame:
     """``label, n, weight``: (total / n) ^ power, normalised to mean 1 over the labels that occur; ``labels`` has a column label."""
     per = labels.groupBy("label").agg(F.count("*").alias("n"))
@@ -97,37 +141,47 @@ def class_weights(labels: DataFrame, power: float = 0.5) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("label", "n", F.round(F.col("raw") / F.col("mean"), 6).alias("weight"))
 
 
-# Names of the sentence error categories.
+# Names of the sentence error categories, abbreviations and the marks looked for in entity texts.
 CATEGORIES = ("entity_missing", "entity_extra", "entity_type_mismatch", "entity_boundary_mismatch", "organization_predicted_as_location", "location_predicted_as_person", "person_misrecognized", "multiple_entities", "abbreviation", "punctuation", "repeated_prediction")
+SHORT_FORM = rf"(?<![{WORD}])[A-ZĐ]{{2,}}(?![{WORD}])|(?:[A-Za-zÀ-ỹĐđ]\.){{2,}}"
+MARKS = r"[.,;:/()\-]"
 
 
-def sentence_errors(gold: DataFrame, pred: DataFrame, text: DataFrame, key: str = "row_id") -> DataFrame:
-    """``key, category`` of each sentence whose predicted spans differ from the gold ones.
+def error_kinds(sentence: Column, gold: Column, pred: Column) -> Column:
+    """Sorted categories of one sentence from its gold and predicted spans (arrays with start, end, label); row-local.
 
-    gold, pred: key, start, end, label. Unmatched spans of a sentence that overlap are compared by a range
-    join within the sentence; ``text`` (key, sentence) gives abbreviations and punctuation.
+    A span without an exact partner is missing or extra whether or not it overlaps another. Pairs of such spans that overlap give the
+    categories of confusion. Several entities, abbreviations and marks in entity texts are counted without an error, too. Null arrays are empty.
     """
-    k = [key, "start", "end", "label"]
-    flags = matched(gold, pred, k)
-    g = flags.where("g = 1 and p = 0").select(key, F.col("start").alias("gs"), F.col("end").alias("ge"), F.col("label").alias("gl"))
-    p = flags.where("g = 0 and p = 1").select(key, F.col("start").alias("ps"), F.col("end").alias("pe"), F.col("label").alias("pl"))
-    hit = g.join(p, key).where("gs < pe and ps < ge")
-    same = (F.col("gs") == F.col("ps")) & (F.col("ge") == F.col("pe"))
-    kinds = F.array_compact(F.array(
-        F.when(same & (F.col("gl") != F.col("pl")), "entity_type_mismatch"),
-        F.when(~same, "entity_boundary_mismatch"),
-        F.when((F.col("gl") == "ORGANIZATION") & (F.col("pl") == "LOCATION"), "organization_predicted_as_location"),
-        F.when((F.col("gl") == "LOCATION") & (F.col("pl") == "PERSON"), "location_predicted_as_person"),
-        F.when((F.col("gl") == "PERSON") & (F.col("pl") != "PERSON"), "person_misrecognized"),
-    ))
-    paired = hit.select(key, F.explode(kinds).alias("category"))
-    missing = g.join(hit.select(key, "gs", "ge").distinct(), [key, "gs", "ge"], "left_anti").select(key, F.lit("entity_missing").alias("category"))
-    extra = p.join(hit.select(key, "ps", "pe").distinct(), [key, "ps", "pe"], "left_anti").select(key, F.lit("entity_extra").alias("category"))
-    wrong = flags.where("g <> p").select(key).distinct()
-    many = gold.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").join(wrong, key).select(key, F.lit("multiple_entities").alias("category"))
-    said = pred.groupBy(key, "label", "start", "end").agg(F.count("*").alias("n")).where("n > 1").select(key, F.lit("repeated_prediction").alias("category"))
-    from vanloom.functions.text import ABBREVIATION
-
-    marks = text.join(wrong, key).select(key, F.explode(F.array_compact(F.array(F.when(F.col("sentence").rlike(ABBREVIATION), "abbreviation"), F.when(F.col("sentence").rlike(r"[\"“”():;]"), "punctuation")))).alias("category"))
-    out = paired.unionByName(missing).unionByName(extra).unionByName(many).unionByName(said).unionByName(marks)
-    return out.distinct()
+    none = F.array().cast("array<struct<start:bigint,end:bigint,label:string>>")
+    span = lambda x: F.struct(x["start"].cast("bigint").alias("start"), x["end"].cast("bigint").alias("end"), x["label"].alias("label"))
+    g, p = (F.coalesce(F.transform(c, span), none) for c in (gold, pred))
+    left, over = F.array_except(g, p), F.array_except(p, g)
+
+    def confused(which) -> Column:
+        return F.exists(left, lambda a: F.exists(over, lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"]) & which(a["label"], b["label"])))
+
+    def said(pattern: str) -> Column:
+        return F.exists(F.concat(g, p), lambda x: F.substring(sentence, (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")).rlike(pattern))
+
+    found = {
+        "entity_missing": F.size(left) > 0,
+        "entity_extra": F.size(over) > 0,
+        "entity_type_mismatch": confused(lambda a, b: a != b),
+        "entity_boundary_mismatch": confused(lambda a, b: a == b),
+        "organization_predicted_as_location": confused(lambda a, b: (a == "ORGANIZATION") & (b == "LOCATION")),
+        "location_predicted_as_person": confused(lambda a, b: (a == "LOCATION") & (b == "PERSON")),
+        "person_misrecognized": confused(lambda a, b: (a == "PERSON") | (b == "PERSON")),
+        "multiple_entities": F.size(g) > 1,
+        "abbreviation": said(SHORT_FORM),
+        "punctuation": said(MARKS),
+        "repeated_prediction": F.size(p) > F.size(F.array_distinct(p)),
+    }
+    return F.array_sort(F.array_compact(F.array(*[F.when(c, k) for k, c in found.items()])))
+
+
+def sentence_errors(gold: DataFrame, pred: DataFrame, text: DataFrame, key: str = "row_id") -> DataFrame:
+    """``key, category`` of each sentence of ``text`` (key, sentence); gold, pred: key, start, end, label. One shuffle on the key."""
+    side = lambda df, name: df.groupBy(key).agg(F.collect_list(F.struct("start", "end", "label")).alias(name))
+    rows = text.join(side(gold, "_g"), key, "left").join(side(pred, "_p"), key, "left")
+    return rows.select(key, F.explode(error_kinds(F.col("sentence"), F.col("_g"), F.col("_p"))).alias("category"))

@@ -33,8 +33,8 @@ def column_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
 def distribution(rows: DataFrame, column: str, by: str, values: list[str]) -> DataFrame:
     """Counts of each value per split, wide, with the share within the split."""
     wide = rows.groupBy(F.col(column).alias("value")).agg(*[F.count_if(F.col(by) == v).alias(f"n_{v}") for v in values])
-    total = Window.partitionBy()
-    return wide.select("value", *[F.col(f"n_{v}") for v in values], *[F.round(100 * F.col(f"n_{v}") / F.sum(f"n_{v}").over(total), 1).alias(f"pct_{v}") for v in values])
+    totals = wide.agg(*[F.sum(f"n_{v}").alias(f"all_{v}") for v in values])
+    return wide.crossJoin(F.broadcast(totals)).select("value", *[F.col(f"n_{v}") for v in values], *[F.round(100 * F.col(f"n_{v}") / F.col(f"all_{v}"), 1).alias(f"pct_{v}") for v in values])
 
 
 def hit_rates(rows: DataFrame, text: str, group: str, lexicon: dict[str, list[str]]) -> DataFrame:
@@ -58,7 +58,7 @@ def lift(rows: DataFrame, key: str, text: str, group: str, min_pct: float = 0.3)
     size = base.groupBy(F.col(group).alias("grp")).agg(F.count("*").alias("size"))
     ref = seen.groupBy("word").agg(F.sum("n").alias("ref_n"))
     total = base.agg(F.count("*").alias("total"))
-    out = seen.join(F.broadcast(size), "grp").join(ref, "word").crossJoin(F.broadcast(total))
+    out = seen.join(size, "grp").join(ref, "word").crossJoin(F.broadcast(total))
     pct, ref_pct = 100 * F.col("n") / F.col("size"), 100 * F.col("ref_n") / F.col("total")
     return out.select("grp", "word", F.round(pct, 4).alias("pct"), F.round(ref_pct, 4).alias("ref_pct"), F.round(pct / (ref_pct + 0.1), 4).alias("lift")).where(F.col("pct") >= min_pct)
 

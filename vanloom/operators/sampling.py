@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vanloom.operators.ranks import lowest, nth
+
 
 def draw(key: str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
@@ -21,8 +23,8 @@ def stratified(rows: DataFrame, stratum: str, n: int, key: str, seed: int = 42)
     strata = rows.select(stratum).distinct().count() or 1
     got = at_most(rows, stratum, n // strata, key, seed).drop("rk")
     short = n - got.count()
-    rest = rows.join(got.select(key), key, "left_anti").orderBy(draw(key, seed + 1), key).limit(max(0, short))
-    return got.unionByName(rest)
+    rest = rows.join(got.select(key), key, "left_anti")
+    return got.unionByName(lowest(rest, draw(key, seed + 1), short))
 
 
 def enriched(rows: DataFrame, hit: Column, doc: str, stratum: str, n: int, key: str, share: float = 0.5, seed: int = 42) -> DataFrame:
@@ -46,12 +48,11 @@ def split_sizes(n: int, val: float, test: float) -> tuple[int, int, int]:
 
 
 def ratio_split(rows: DataFrame, key: str, val: float = 0.1, test: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds ``split`` by ranges of the hashed order. The two cut points come from exact ranks near them, not from a global sort."""
-    n = rows.count()
-    train, v, _ = split_sizes(n, val, test)
-    ranked = rows.withColumn("_d", draw(key, seed))
-    cuts = ranked.select("_d").orderBy("_d").offset(train - 1).limit(1).first()[0], ranked.select("_d").orderBy("_d").offset(train + v - 1).limit(1).first()[0]
-    return ranked.withColumn("split", F.when(F.col("_d") <= cuts[0], "train").when(F.col("_d") <= cuts[1], "val").otherwise("test")).drop("_d")
+    """Adds ``split`` by ranges of the hashed order. The two cut points are found by counts of hash prefixes, not by a sort."""
+    train, v, _ = split_sizes(rows.count(), val, test)
+    ends = [nth(rows, draw(key, seed), k - 1)[0] for k in (train, train + v)]
+    d = draw(key, seed)
+    return rows.withColumn("split", F.when(d <= ends[0], "train").when(d <= ends[1], "val").otherwise("test"))
 
 
 def held_out(rows: DataFrame, stratum: str, n: int, key: str, seed: int = 42) -> DataFrame:

@@ -9,6 +9,7 @@ from vanloom.functions.text import at
 
 from vanloom.functions import text as T
 from vanloom.operators import dedup, sampling
+from vanloom.operators.ranks import global_rank, group_rank
 from vanloom.plans.registry import _SPACE, collapse, norm, query, words
 from vanloom.session import table
 
@@ -60,12 +61,30 @@ def txt06_detokenized(s, d):
     return table(s, d, "sentences").select("row_id", T.detokenize(F.col("sentence")).alias("plain"))
 
 
-@query(f"SELECT article_id, regexp_replace({collapse("regexp_replace(regexp_replace(\"Content\", '(?:https?://|www\\.)\\S+', ' ', 'g'), '(?:\\.\\s*){2,}', '. ', 'g')")}, '^[.\\s]+', '') AS no_links FROM raw_articles")
+_DOT = rf"regexp_replace(regexp_replace({{}}, '\.(?:{_SPACE}+\.)+', '.', 'g'), '^{_SPACE}*\.{_SPACE}*', '')"
+_NOT_SPACE = "[^" + _SPACE[1:]
+_NAMES = f"[{T.CAPITAL}][{T.CAPITAL}.]*"
+_NOISE = (
+    (rf"\({_SPACE}*(?:Ảnh|Nguồn){_SPACE}*:[^()]{{0,60}}\)", " "),
+    (rf"[-–]?{_SPACE}*(?:Ảnh|Đồ hoạ|Đồ họa){_SPACE}*:{_SPACE}*(?:{_NAMES}{_SPACE}*\.?{_SPACE}*){{1,4}}({_SPACE}|$)", r" . \1"),
+    (rf"[-–]{_SPACE}*Ảnh{_SPACE}*:{_SPACE}*[^.]{{1,50}}?{_SPACE}\.({_SPACE}|$)", r" . \1"),
+    (rf"(?:XEM CLIP|Xem [Cc]lip|Clip){_SPACE}*:{_SPACE}*", ""),
+    (rf"https?://{_NOT_SPACE}+|www\.{_NOT_SPACE}+", " "),
+)
+
+
+def _without_noise(column: str) -> str:
+    for pattern, new in _NOISE:
+        column = f"regexp_replace({column}, '{pattern}', '{new}', 'g')"
+    return collapse(_DOT.format(column))
+
+
+@query(f"SELECT article_id, {collapse(_DOT.format(f"regexp_replace(\"Content\", 'https?://{_NOT_SPACE}+|www\\.{_NOT_SPACE}+', ' ', 'g')"))} AS no_links FROM raw_articles")
 def txt05_links_and_dots(s, d):
-    return _raw(s, d).select("article_id", T.dots(F.regexp_replace("Content", r"(?:https?://|www\.)\S+", " ")).alias("no_links"))
+    return _raw(s, d).select("article_id", T.dots(F.regexp_replace("Content", T.NOISE[-1][0], " ")).alias("no_links"))
 
 
-@query()
+@query(f"SELECT article_id, {_without_noise('\"Content\"')} AS without_noise FROM raw_articles")
 def txt05_remove_noise(s, d):
     return _raw(s, d).select("article_id", T.remove_noise(F.col("Content")).alias("without_noise"))
 
@@ -119,9 +138,8 @@ def src03_row_counts(s, d):
 
 @query("SELECT article_id, split || '_' || lpad(CAST(row_number() OVER (PARTITION BY split ORDER BY row_idx) - 1 AS VARCHAR), 5, '0') AS new_id FROM raw_articles WHERE \"Content\" IS NOT NULL")
 def prj01_doc_ids(s, d):
-    rows = _raw(s, d).where("Content is not null")
-    rn = F.row_number().over(Window.partitionBy("split").orderBy("row_idx")) - 1
-    return rows.select("article_id", F.concat_ws("_", "split", F.lpad(rn.cast("string"), 5, "0")).alias("new_id"))
+    rows = group_rank(_raw(s, d).where("Content is not null").select("article_id", "split", "row_idx"), "split", ["row_idx"], "rn")
+    return rows.select("article_id", F.concat_ws("_", "split", F.lpad((F.col("rn") - 1).cast("string"), 5, "0")).alias("new_id"))
 
 
 @query(f"SELECT article_id, CASE WHEN \"Label\" = 'Khác' AND \"SubLabel\" IS NOT NULL AND \"SubLabel\" <> '{NO_VIOLATION}' THEN '{VIOLATION}' ELSE \"Label\" END AS fixed_label, coalesce(\"Label\" = 'Khác' AND \"SubLabel\" <> '{NO_VIOLATION}', false) AS was_fixed FROM raw_articles")
@@ -132,8 +150,9 @@ def prj02_label_fix(s, d):
 
 @query("SELECT row_id, split = 'train' AND row_number() OVER (PARTITION BY split ORDER BY row_id) <= 50 AS twice, '' AS note_cell FROM to_annotate")
 def prj03_flags(s, d):
-    rn = F.row_number().over(Window.partitionBy("split").orderBy("row_id"))
-    return _anno(s, d).select("row_id", ((F.col("split") == "train") & (rn <= 50)).alias("twice"), F.lit("").alias("note_cell"))
+    # The 50 are taken by a top-k, which each task cuts to 50 by itself; they are joined by broadcast.
+    first = _anno(s, d).where("split = 'train'").select("row_id").orderBy("row_id").limit(50).withColumn("hit", F.lit(True))
+    return _anno(s, d).select("row_id").join(F.broadcast(first), "row_id", "left").select("row_id", F.coalesce("hit", F.lit(False)).alias("twice"), F.lit("").alias("note_cell"))
 
 
 @query(f"SELECT split, count(*) FILTER (WHERE \"Content\" IS DISTINCT FROM {collapse('\"Content\"')}) AS changed FROM raw_articles GROUP BY split")
@@ -149,10 +168,11 @@ def flt01_scope(s, d):
 
 @query(f"SELECT split, n, first_ids FROM (SELECT split, count(*) AS n, string_agg(CASE WHEN rn <= 3 THEN CAST(article_id AS VARCHAR) END, ',' ORDER BY rn) AS first_ids FROM (SELECT split, article_id, row_number() OVER (PARTITION BY split ORDER BY row_idx) AS rn FROM raw_articles WHERE \"SubLabel\" IN ('{OUT_OF_SCOPE[0]}')) GROUP BY split)")
 def flt02_scope_preview(s, d):
-    out = _raw(s, d).where(F.col("SubLabel").isin(*OUT_OF_SCOPE))
-    rk = out.withColumn("rn", F.row_number().over(Window.partitionBy("split").orderBy("row_idx")))
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= 3, F.struct("rn", "article_id")))), lambda x: x["article_id"].cast("string")), ",")
-    return rk.groupBy("split").agg(F.count("*").alias("n"), ids.alias("first_ids"))
+    out = _raw(s, d).where(F.col("SubLabel").isin(*OUT_OF_SCOPE)).select("split", "row_idx", "article_id")
+    # Spark cuts each task to three rows per split before the shuffle (group limit).
+    top = out.withColumn("rn", F.row_number().over(Window.partitionBy("split").orderBy("row_idx"))).where("rn <= 3")
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "article_id"))), lambda x: x["article_id"].cast("string")), ",")
+    return out.groupBy("split").agg(F.count("*").alias("n")).join(top.groupBy("split").agg(ids.alias("first_ids")), "split")
 
 
 @query(f"SELECT count(*) FILTER (WHERE w < 5) AS short, count(*) FILTER (WHERE w > 100) AS long, count(*) FILTER (WHERE w BETWEEN 5 AND 100) AS kept FROM (SELECT {words('sentence')} AS w FROM sentences)")
@@ -285,8 +305,6 @@ def win04_enriched(s, d):
 
 @query("SELECT row_id, row_number() OVER (ORDER BY md5('42:' || CAST(row_id AS VARCHAR)), row_id) AS pos FROM to_annotate")
 def win05_shuffle(s, d):
-    from vanloom.operators.ranks import global_rank
-
     return global_rank(_anno(s, d).select("row_id", sampling.draw("row_id").alias("m")), ["m", "row_id"], "pos").select("row_id", "pos")
 
 

@@ -227,20 +227,28 @@ def agg24_label_table(s, d):
     return metrics.label_scores(_gold(s, d), _pred(s, d), _K, list(V.ENTITY_LABELS))
 
 
-_KINDS = """hit AS (SELECT g.row_id, g."start" gs, g."end" ge, g.label gl, p."start" ps, p."end" pe, p.label pl FROM flags g JOIN flags p ON g.row_id = p.row_id AND g.g = 1 AND g.p = 0 AND p.g = 0 AND p.p = 1 AND g."start" < p."end" AND p."start" < g."end"),
- k AS (SELECT row_id, 'entity_type_mismatch' AS category FROM hit WHERE gs = ps AND ge = pe AND gl <> pl UNION ALL SELECT row_id, 'entity_boundary_mismatch' FROM hit WHERE NOT (gs = ps AND ge = pe)
- UNION ALL SELECT row_id, 'organization_predicted_as_location' FROM hit WHERE gl = 'ORGANIZATION' AND pl = 'LOCATION' UNION ALL SELECT row_id, 'location_predicted_as_person' FROM hit WHERE gl = 'LOCATION' AND pl = 'PERSON' UNION ALL SELECT row_id, 'person_misrecognized' FROM hit WHERE gl = 'PERSON' AND pl <> 'PERSON'
- UNION ALL SELECT row_id, 'entity_missing' FROM flags f WHERE g = 1 AND p = 0 AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.row_id = f.row_id AND h.gs = f."start" AND h.ge = f."end")
- UNION ALL SELECT row_id, 'entity_extra' FROM flags f WHERE g = 0 AND p = 1 AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.row_id = f.row_id AND h.ps = f."start" AND h.pe = f."end")
- UNION ALL SELECT row_id, 'multiple_entities' FROM gold WHERE row_id IN (SELECT row_id FROM flags WHERE g <> p) GROUP BY row_id HAVING count(*) > 1
- UNION ALL SELECT row_id, 'repeated_prediction' FROM pred GROUP BY row_id, label, "start", "end" HAVING count(*) > 1
- UNION ALL SELECT row_id, 'abbreviation' FROM to_annotate WHERE row_id IN (SELECT row_id FROM flags WHERE g <> p) AND regexp_matches(sentence, '(?:^|[^\\p{L}])(?:\\p{Lu}{2,}|(?:\\p{L}\\.){2,})')
- UNION ALL SELECT row_id, 'punctuation' FROM to_annotate WHERE row_id IN (SELECT row_id FROM flags WHERE g <> p) AND regexp_matches(sentence, '["“”():;]'))"""
-
-
-@query(f"WITH {_GOLD}, {_PREDS}, {_FLAGS}, {_KINDS} SELECT DISTINCT row_id, category FROM k")
+_KINDS = """hit AS (SELECT g.row_id, g.label gl, p.label pl FROM flags g JOIN flags p ON g.row_id = p.row_id AND g.g = 1 AND g.p = 0 AND p.g = 0 AND p.p = 1 AND g."start" < p."end" AND p."start" < g."end"),
+ said AS (SELECT row_id, text FROM gold UNION ALL SELECT row_id, text FROM pred),
+ k AS (SELECT row_id, 'entity_missing' AS category FROM flags WHERE g = 1 AND p = 0
+ UNION ALL SELECT row_id, 'entity_extra' FROM flags WHERE g = 0 AND p = 1
+ UNION ALL SELECT row_id, 'entity_type_mismatch' FROM hit WHERE gl <> pl
+ UNION ALL SELECT row_id, 'entity_boundary_mismatch' FROM hit WHERE gl = pl
+ UNION ALL SELECT row_id, 'organization_predicted_as_location' FROM hit WHERE gl = 'ORGANIZATION' AND pl = 'LOCATION'
+ UNION ALL SELECT row_id, 'location_predicted_as_person' FROM hit WHERE gl = 'LOCATION' AND pl = 'PERSON'
+ UNION ALL SELECT row_id, 'person_misrecognized' FROM hit WHERE gl = 'PERSON' OR pl = 'PERSON'
+ UNION ALL SELECT row_id, 'multiple_entities' FROM gold GROUP BY row_id HAVING count(*) > 1
+ UNION ALL SELECT row_id, 'abbreviation' FROM said WHERE regexp_matches(text, '(?:^|[^\\p{L}\\p{N}_])[A-ZĐ]{2,}(?:$|[^\\p{L}\\p{N}_])|(?:[A-Za-zÀ-ỹĐđ]\\.){2,}')
+ UNION ALL SELECT row_id, 'punctuation' FROM said WHERE regexp_matches(text, '[.,;:/()-]')
+ UNION ALL SELECT row_id, 'repeated_prediction' FROM pred GROUP BY row_id, label, "start", "end" HAVING count(*) > 1)"""
+# A second stand-in predictor with wrong types and bounds, so that every category has rows.
+WRONG = {"TIME": r"ngày \d{1,2}/\d{1,2}", "MONEY": r"\d+(?:[.,]\d+)*(?: (?:triệu|tỷ|tỉ))? (?:đồng|USD)", "LOCATION": r"(?:Công an|Tòa án|TAND|UBND)(?: \p{L}+){1,2}", "PERSON": r"\p{Lu}\p{L}+ \p{Lu}\p{L}+"}
+
+
+@query(f"WITH {_GOLD}, pred AS ({_found(WRONG)}), {_FLAGS}, {_KINDS} SELECT DISTINCT row_id, category FROM k")
 def agg27_error_categories(s, d):
-    return metrics.sentence_errors(_gold(s, d), _pred(s, d), _anno(s, d).select("row_id", "sentence"))
+    t = F.col("sentence")
+    rows = _gold_arrays(s, d).select("row_id", metrics.error_kinds(t, F.col("spans"), F.concat(*[S.finditer(t, rx, k) for k, rx in WRONG.items()])).alias("k"))
+    return rows.select("row_id", F.explode("k").alias("category"))
 
 
 def _records(s, d, engine: str) -> DataFrame:

@@ -31,10 +31,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: With this setting Spark removes the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows are written once to the shared folder and lineage ends there."""
+    """Reliable checkpoint: the rows are written once to the shared folder and lineage ends there. The shuffle files behind them,
+    which nothing can read any more, are removed at once, so a query of many steps holds the disk of one."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        conf.set(_CLEANUP, before)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vanloom.functions import spans as S
@@ -35,8 +36,11 @@ def read_csv(spark: SparkSession, path: str, schema: str, missing: bool = False)
     return df.withColumns({c: F.when(F.col(c).isin(*MISSING), "").otherwise(F.col(c)) for c in texts}) if missing else df
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+def write_csv(df: DataFrame, path: str, bom: bool = False, mode: str = "overwrite") -> None:
+    """CSV with header; with ``bom``, each file begins with a byte-order mark, as spreadsheets want it. Mode "errorifexists" guards raw folders."""
+    if bom and df.columns:
+        df = df.withColumnRenamed(df.columns[0], BOM + df.columns[0])
+    df.write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
@@ -49,6 +53,39 @@ def write_tasks(tasks: DataFrame, path: str) -> None:
     tasks.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_task_array(tasks: DataFrame, path: str, per_file: int = 10_000) -> None:
+    """JSON arrays of tasks, which the labelling tool loads as they are: ``per_file`` tasks at most in each file."""
+
+    def arrays(batches):
+        held: list[str] = []
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                held.append(x)
+                if len(held) == per_file:
+                    yield pa.RecordBatch.from_arrays([pa.array(["[" + ",\n".join(held) + "]"])], names=["value"])
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(["[" + ",\n".join(held) + "]"])], names=["value"])
+
+    rows = tasks.select(F.to_json(F.struct(*tasks.columns), {"ignoreNullFields": "false"}).alias("value"))
+    rows.mapInArrow(arrays, "value string").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
+def write_dataset(records: DataFrame, path: str, name: str) -> None:
+    """A data set of event records in both forms: JSON lines under ``name``.jsonl, and ``name``_ner.csv with ``sentence, entities``
+    (TEXT|LABEL items; an empty cell for none) and a byte-order mark."""
+    write_jsonl(records, os.path.join(path, f"{name}.jsonl"))
+    cell = F.array_join(F.transform("entities", lambda e: F.concat(e["text"], F.lit("|"), e["label"])), "; ")
+    write_csv(records.select("sentence", F.coalesce(cell, F.lit("")).alias("entities")), os.path.join(path, f"{name}_ner.csv"), bom=True)
+
+
+def pseudo_labels(rows: DataFrame, entities: Column, key: str = "record_id") -> DataFrame:
+    """``record_id, sentence, entities, label_status`` of predicted entities; records without an id are called unknown_id."""
+    item = F.transform(entities, lambda e: F.struct(e["text"].alias("text"), e["label"].alias("label"), e["start"].alias("start"), e["end"].alias("end")))
+    name = F.coalesce(F.col(key).cast("string"), F.lit("unknown_id")) if key in rows.columns else F.lit("unknown_id")
+    return rows.select(name.alias("record_id"), "sentence", item.alias("entities"), F.lit("PSEUDO_LABEL").alias("label_status"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str = EVENT_RECORD, strict: bool = True) -> DataFrame:
     """JSON lines. Blank lines are skipped. A malformed line fails the read, or without ``strict`` comes back in ``_corrupt_record``."""
     lines = spark.read.text(path).where(F.trim("value") != "")
