@@ -3,8 +3,9 @@
 A weighted finite-state grammar in two stages. The first transducer undoes disguises: look-alike characters, digits
 and masks for letters, separated or repeated letters, dropped accents. The second matches phrases
 of the classes below over the restored words of a clause, longest first, so that a harmless longer
-phrase shields the word in it. Clause rules then compose the classes: an insult needs a target or a
-second insult, a threat its victim, reported speech and warnings take weight away. A clause counts, not an isolated word.
+phrase shields the word in it. The string of classes then runs through the transducers of ``RULES``, one after the other: negation
+strikes out what it governs, reported speech and warnings take weight away from what is close to them, targets and groups
+add to what is hostile. A clause counts, not an isolated word.
 
 The score of a document is that of its worst clause. Null and empty texts score 0. Every line of the whole
 text is read. Lexicons are parameters (``Grammar``).
@@ -33,6 +34,8 @@ WINDOW = 120
 
 #: Words of reporting count up to so many words before and after what they report.
 BEFORE, AFTER = 6, 4
+#: A negation governs what begins up to so many words after it.
+GOVERNS = 3
 
 #: Phrases by class, with the weight of the class's phrase (``phrase`` or ``phrase=weight``).
 LEXICON: dict[str, str] = {
@@ -43,14 +46,16 @@ LEXICON: dict[str, str] = {
         nhìn như cái bô; xấu người xấu nết; sống chỉ tốn cơm; sống chỉ chật đất; hết thuốc chữa=0.4; thế mà cũng đòi=0.3; câm mồm; câm họng; im mồm; ngậm mồm; khuất mắt=0.4;
         idiot; idiots; moron; morons; imbecile; retard; scumbag; asshole; bastard; bastards; bitch; bitches; slut; whore; cunt; dumb fuck; dumbass; piece of shit; shithead; filthy rat; filthy pig;
         worthless pig; worthless trash; brainless clown; brainless; loser=0.4; stupid=0.5; trash=0.3; subhuman; shut your mouth; shut the fuck up; nobody * wants you=0.5;
-        connard; connasse; salope; enculé; fils de pute; pauvre con; sale con""",
+        cretin; cretins; degenerate; degenerates; cockroach; cockroaches; swine; pervert=0.4; dimwit; halfwit; pathetic=0.3; filth=0.4; scum; lowlife; jerk=0.4;
+        connard; connasse; salope; enculé; fils de pute; pauvre con; sale con; sale pute; pute; ordure=0.4; crétin; une merde; une vraie merde; abruti; sous-merde;
+        arschloch; dreckskerl; missgeburt; hurensohn; schlampe; wichser; drecksau""",
     "vulgar": """
         địt mẹ; địt con mẹ; địt; đụ má; đụ mẹ; đm; đmm; dkm; vcl; vkl; cc mày; mẹ kiếp; mẹ mày; bố mày; tổ sư; clgt; fuck you; fucking; fuck; fucker; motherfucker; go to hell; nique ta mère; va te faire""",
     "threat": """
         cho ăn dao=1; cho ăn đòn; đập vỡ mặt=0.9; đập chết; đánh chết; chém chết; giết chết=0.5; giết mày=1; giết cả nhà=1; xiên chết; đốt nhà chúng nó=1; đốt nhà=0.5; đi chết đi=0.9; chết đi=0.6; chết hết=0.6; chết hết càng tốt=1; khỏi cần tòa xử=0.4; cút đi=0.5; cút khỏi=0.6; cút về=0.6;
-        biến khỏi=0.5; coi chừng cái mạng=1; là phải đánh=0.7; chửi thẳng mặt=0.5; chứ sợ gì=0.2; i hope you die=1; hope you die; die in a ditch=0.8; kill you=1; kill yourself=1; i will find you; nobody would miss=0.7; someone ran that thing over=0.7; ran you over; beat you up; slit your throat=1; watch your back=0.5; je vais te tuer=1; crève=0.6""",
+        biến khỏi=0.5; coi chừng cái mạng=1; là phải đánh=0.7; chửi thẳng mặt=0.5; chứ sợ gì=0.2; i hope you die=1; hope you die; die in a ditch=0.8; kill you=1; kill yourself=1; i will find you; nobody would miss=0.7; someone ran that thing over=0.7; ran you over; beat you up; slit your throat=1; watch your back=0.5; go die=0.7; drop dead=0.6; je vais te tuer=1; va crever=0.8; crève=0.6; ich bringe dich um=1; verrecke=0.8""",
     "group": """
-        loại người=0.4; bọn người=0.4; bọn nhập cư=0.5; lũ theo đạo=0.5; bọn theo đạo=0.5; nhà nào theo=0.3; cứ thấy dân=0.4; đàn bà chỉ biết=0.8; lũ đàn bà=0.6; women like=0.4; all * people are=0.4; families breed=0.5; never trust a=0.5; bọn da đen; bọn mọi; sales immigrés""",
+        you people=0.4; those people=0.3; loại người=0.4; bọn người=0.4; bọn nhập cư=0.5; lũ theo đạo=0.5; bọn theo đạo=0.5; nhà nào theo=0.3; cứ thấy dân=0.4; đàn bà chỉ biết=0.8; lũ đàn bà=0.6; women like=0.4; all * people are=0.4; families breed=0.5; never trust a=0.5; bọn da đen; bọn mọi; sales immigrés""",
     "degrade": """
         giống hạ đẳng=1; hạ đẳng=0.7; giống mọi; diệt sạch=0.8; dọn sạch khỏi=0.8; đuổi hết khỏi=0.8; đuổi sạch; giống ấy=0.3; từ trong máu=0.7; đừng cho con cái chơi chung=0.7; cho đỡ chật=0.4; để làm gì=0.2; cho đi làm=0.2; vermin=0.8; breed like rats=1; like rats=0.4; like animals=0.4;
         wiped out=0.5; should be wiped out=0.9; throw them out=0.7; keep them out=0.7; born thieves=0.7; belong in the kitchen=0.9; go back to your country=0.9; inferior race=1; parasites=0.5""",
@@ -58,17 +63,22 @@ LEXICON: dict[str, str] = {
         vú=0.4; vú to=0.7; mông căng=0.6; mông to=0.5; sướng rên=0.8; rên la; nứng=0.8; chịch=0.9; chịch cả đêm=1; đè ra=0.4; bú liếm=0.9; bú cu=1; bú lồn=1; liếm lồn=1; lồn=0.8; cặc=0.8; buồi=0.8; khỏa thân=0.5; trần truồng=0.5; làm tình=0.5; không che=0.4; chat sex=0.7; gái gọi=0.4; show hàng=0.6; qua đêm=0.3; ib kín=0.3; ai cần ib=0.3;
         cởi hết cho anh xem=1; cởi hết=0.5; anh chiều=0.2; đủ trò=0.3; một set=0.2; dâm đãng; dâm=0.3; nude pics=0.6; nudes=0.5; nude=0.3; wet pussy=0.9; pussy=0.7; no blur=0.4; blowjob=0.9; horny=0.6; big tits=0.9; suck my dick=1; cumshot=1; anal sex=0.6; hardcore porn=0.7; bộ ảnh=0.2; clip=0.1""",
     "target": """
-        mày; bọn mày; chúng mày; tụi mày; tao; thằng; con này; cái thằng; cái con; cái lũ; cái ngữ; lũ; bọn; đồ; thứ; loại; ngữ như; ngữ; chúng nó; nó; như mày; you; you are; your; yourself; they; them; tu; toi; espèce de""",
+        mày; bọn mày; chúng mày; tụi mày; tao; thằng; con này; cái thằng; cái con; cái lũ; cái ngữ; lũ; bọn; đồ; thứ; loại; ngữ như; ngữ; chúng nó; nó; như mày; you; you are; your; yourself; they; them; tu; toi; espèce de; du bist; ihr seid; dich""",
+    "negate": """
+        not; not a; not an; not even; never; would never; will never; nobody is; no one is; nobody should; no one should; nobody may; don't; do not; doesn't; isn't; aren't; wasn't; without;
+        không phải; không phải là; không hề; không bao giờ; chưa bao giờ; chưa từng; chẳng phải; không ai được; không ai được nói; không được; không nên; đừng gọi; đừng bao giờ; không gọi;
+        pas; n'est pas; n'es pas; jamais; kein; keine; nicht; niemand""",
     "report": """
         bị phạt; phạt tiền; bị cáo; bị can; nạn nhân; bị hại; cáo trạng; phiên tòa; phiên xử; hội đồng xét xử; về tội; tội danh; lĩnh án; khai nhận; khai giết người; khai rằng; tố cáo; tố giác; trình báo; báo công an; khởi tố; điều tra; triệt phá; tạm giữ; bắt giữ; xử lý;
         văn hóa phẩm; lời lẽ; xúc phạm; bôi nhọ; chửi mắng; chửi bới; lên án; cảnh báo; cảnh giác; khuyến cáo; phòng chống; giáo dục giới tính; sức khỏe sinh sản; luật; theo luật; có điều; nghị định; quy định; có thông báo chưa; xử kín; phản ứng; dư luận; phát biểu; đưa tin;
-        convicted of; charged with; accused of; sentenced; reported that; the court; police said; warned; survey; hearing; the word; condamné; accusé de; plainte""",
+        hắn nói; hắn chửi; ông ta nói; bà ta nói; anh ta nói; cô ta nói; hét lên; quát; he said; she said; they said; said to; he called; she called; called me; called him; called her; yelled at; shouted at; il a dit; elle a dit; convicted of; charged with; accused of; sentenced; reported that; the court; police said; warned; survey; hearing; the word; condamné; accusé de; plainte""",
     "harmless": """
         hạt óc chó; thịt lợn; đầu lợn; giết thời gian; ngu ngơ; chó nhà; con chó nhà; tính lộn; lộn; killed it; killing it; dog barked; cocktail; đồ ăn; đồ đạc; đồ dùng; đồ chơi; đồ uống; tiệm cầm đồ; cầm đồ; bản đồ; sơ đồ; thứ hai; thứ ba; thứ tư; thứ năm; thứ sáu; thứ bảy; tuần thứ; lần thứ; thứ trưởng; loại xe; loại hình; các loại; nhiều loại; bọn trẻ; con cái;
         giới tính; age and sex; sex only; sex education; same sex; quan hệ tình dục; mại dâm; hiếp dâm; xâm hại tình dục; dâm ô; khiêu dâm; đồi trụy; bú sữa; bú mẹ; tượng khỏa thân; tranh khỏa thân; bò; bao cao su; animal shit; kill time; no idea""",
 }
 #: Weight of a phrase without one of its own.
-DEFAULT = {"insult": 0.6, "vulgar": 0.7, "threat": 0.7, "group": 0.5, "degrade": 0.7, "sexual": 0.6, "target": 0.4, "report": 0.8, "harmless": 0.0}
+DEFAULT = {"insult": 0.6, "vulgar": 0.7, "threat": 0.7, "group": 0.5, "degrade": 0.7, "sexual": 0.6, "target": 0.4, "report": 0.8, "negate": 0.0, "harmless": 0.0}
+HARSH = ("insult", "vulgar", "threat", "degrade", "sexual")
 
 _LEET = str.maketrans("013457", "oieast")
 _SEPARATORS = "._~=|+·-"
@@ -139,6 +149,52 @@ def restore(clause: str) -> list[Word]:
     return out
 
 
+#: A matched phrase: first word, word after the last, class, weight.
+Mark = tuple[int, int, str, float]
+
+
+def negation(tape: list[Mark]) -> tuple[list[Mark], float]:
+    """Drops what a negation governs. State: the end of the last negation; whatever is harsh and begins within GOVERNS words of it
+    is not said. A second negation within reach cancels the first ("not without")."""
+    out: list[Mark] = []
+    upto, open_ = -1, False
+    for mark in tape:
+        start, end, name, _ = mark
+        if name == "negate":
+            open_ = not (open_ and start <= upto)
+            upto = end + GOVERNS
+        elif name in HARSH and open_ and start <= upto:
+            upto = end + GOVERNS
+        else:
+            out.append(mark)
+    return out, 0.0
+
+
+def force(tape: list[Mark]) -> tuple[list[Mark], float]:
+    """Adds up what is harsh."""
+    return tape, sum(weight for _, _, name, weight in tape if name in HARSH)
+
+
+def address(tape: list[Mark]) -> tuple[list[Mark], float]:
+    """A target makes an insult or threat of words that alone are only rude; group words alone are nothing."""
+    if not any(name in HARSH and name != "sexual" and weight for _, _, name, weight in tape):
+        return tape, 0.0
+    weights = {c: sum(w for _, _, name, w in tape if name == c) for c in ("target", "group")}
+    return tape, min(0.6, weights["target"]) + weights["group"]
+
+
+def distance(tape: list[Mark]) -> tuple[list[Mark], float]:
+    """Reported or warned of, by words close before or after: only language of its own force remains."""
+    harsh = [(a, b) for a, b, name, _ in tape if name in HARSH]
+    near = sum(weight for a, b, name, weight in tape if name == "report" and any(0 <= s - b <= BEFORE or 0 <= a - e <= AFTER for s, e in harsh))
+    forceful = any(name == "vulgar" for _, _, name, _ in tape) or sum(name == "target" for _, _, name, _ in tape) > 1
+    return tape, -near * (0.4 if forceful else 1.0)
+
+
+#: The transducers in the order in which they are composed: each reads the tape the one before it wrote, and gives a weight.
+RULES = (negation, force, address, distance)
+
+
 @dataclass
 class Grammar:
     """Phrases indexed by their first word, in both spellings, and by the phrase without spaces."""
@@ -214,24 +270,12 @@ class Grammar:
                 break
         return worst
 
-    def _compose(self, found: list[tuple[int, int, str, float]]) -> float:
-        w = {c: 0.0 for c in DEFAULT}
-        n = dict.fromkeys(DEFAULT, 0)
-        for _, _, name, weight in found:
-            w[name] += weight
-            n[name] += 1
-        hostile = w["insult"] + w["vulgar"] + w["threat"] + w["degrade"]
-        score = hostile + w["sexual"]
-        if not score:
-            return 0.0
-        if hostile:
-            # A target makes an insult or threat of words that alone are only rude; group words alone are nothing.
-            score += min(0.6, w["target"]) + w["group"]
-        # Reported or warned of, by words close before or after: only language of its own force remains.
-        harsh = [(a, b) for a, b, name, _ in found if name in ("insult", "vulgar", "threat", "degrade", "sexual")]
-        near = sum(weight for a, b, name, weight in found if name == "report" and any(0 <= s - b <= BEFORE or 0 <= a - e <= AFTER for s, e in harsh))
-        score -= near * (0.4 if w["vulgar"] or n["target"] > 1 else 1.0)
-        return max(0.0, round(score, 3))
+    def _compose(self, found: list[Mark]) -> float:
+        tape, total = found, 0.0
+        for rule in RULES:
+            tape, change = rule(tape)
+            total += change
+        return max(0.0, round(total, 3))
 
     def score(self, text: str | None) -> float:
         """Weight of the worst clause of a document."""

@@ -19,8 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vanloom.llm.packing import sized
-from vanloom.llm.tokens import VOCABULARY
+from vanloom.llm.tokens import VOCABULARY, n_tokens
 from vanloom.session import cut
 
 SHARD_DOCS = 20_000
@@ -63,7 +62,9 @@ def plan(docs: DataFrame, targets: DataFrame, size: float | None = None) -> Data
 
     ``docs``: source, n_tokens. Without ``size`` a mix is as large as its scarcest source allows.
     """
-    have = docs.where("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("available"), F.count("*").alias("documents"))
+    # Of the sources only those that a target names are counted, so what is broadcast is no larger than the targets.
+    named = targets.select("source").distinct()
+    have = docs.where("n_tokens > 0").join(F.broadcast(named), "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("available"), F.count("*").alias("documents"))
     goal = targets.join(F.broadcast(have), "source", "left").withColumn("available", F.coalesce("available", F.lit(0))).withColumn("documents", F.coalesce("documents", F.lit(0)))
     able = F.when((F.col("available") > 0) & (F.col("target_weight") > 0), F.col("available") * F.col("max_repeats") / F.col("target_weight"))
     limit = goal.groupBy("mix_name").agg(F.min(able).alias("limit"))
@@ -73,9 +74,8 @@ def plan(docs: DataFrame, targets: DataFrame, size: float | None = None) -> Data
 
 def mix(docs: DataFrame, targets: DataFrame, size: float | None = None, seed: int = 42, vocabulary: str = VOCABULARY) -> DataFrame:
     """``mix_name, source, doc_id, n_tokens, copies`` with copies > 0."""
-    docs = docs.where(F.col("source").isNotNull())
-    counted = sized(docs.select("doc_id", "text"), vocabulary=vocabulary)
-    rows = cut(docs.select("doc_id", "source").join(counted.where("n_tokens > 0"), "doc_id"))
+    # Tokens are counted in place: a row is a document, also where ids repeat.
+    rows = cut(docs.where(F.col("source").isNotNull()).select("doc_id", "source", n_tokens(F.col("text"), vocabulary).alias("n_tokens")).where("n_tokens > 0"))
     goal = cut(plan(rows, targets, size).where("copies > 0").select("mix_name", "source", "copies", F.greatest(F.lit(1), F.ceil(F.col("documents") / SHARD_DOCS)).alias("shards")))
     want = rows.join(F.broadcast(goal), "source").withColumn("whole", F.floor("copies").cast("int")).withColumn("part", F.col("copies") - F.floor("copies"))
     want = want.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "shards").cast("int"))
@@ -84,7 +84,7 @@ def mix(docs: DataFrame, targets: DataFrame, size: float | None = None, seed: in
 
     def round_up(level: int):
         def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-            g = g.sort_values("doc_id", kind="stable").reset_index(drop=True)
+            g = g.sort_values(["doc_id", "n_tokens"], kind="stable").reset_index(drop=True)
             done, open_, q = pivotal(g.part.tolist(), g.n_tokens.tolist(), random.Random(f"{seed}:{level}:{key}"))
             g["part"] = pd.Series(done, dtype="float64")
             if open_ is not None:

@@ -56,9 +56,11 @@ def prioritised(records: DataFrame, key: str = "article_id", fields: tuple[str,
 
 def quotas(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """Targets with ``total`` records, ``wanted``, ``available`` and feasible ``quota``."""
-    per = rows.groupBy("field_name", "cat").agg(F.count("*").alias("available"))
-    total = per.groupBy("field_name").agg(F.sum("available").alias("total"))
     goal = targets.withColumn("cat", category(F.col("category")))
+    # Categories that no target names are counted as one, so the result is no longer than the targets.
+    named = goal.where("cat is not null").select("field_name", "cat").distinct().withColumn("named", F.lit(True))
+    per = rows.join(F.broadcast(named), ["field_name", "cat"], "left").groupBy("field_name", F.when(F.col("named"), F.col("cat")).alias("cat")).agg(F.count("*").alias("available"))
+    total = per.groupBy("field_name").agg(F.sum("available").alias("total"))
     goal = goal.join(F.broadcast(per.where("cat is not null")), ["field_name", "cat"], "left").join(F.broadcast(total), "field_name", "left")
     share = F.ceil(F.round(F.col("target_share") * F.col("sample_share") * F.coalesce("total", F.lit(0)), 6))
     goal = goal.withColumn("available", F.coalesce("available", F.lit(0))).withColumn("wanted", F.greatest(share, F.col("min_rows").cast("bigint")))
