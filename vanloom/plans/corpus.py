@@ -61,7 +61,12 @@ def txt06_detokenized(s, d):
     return table(s, d, "sentences").select("row_id", T.detokenize(F.col("sentence")).alias("plain"))
 
 
-_DOT = rf"regexp_replace(regexp_replace({{}}, '\.(?:{_SPACE}+\.)+', '.', 'g'), '^{_SPACE}*\.{_SPACE}*', '')"
+
+
+def _dots(column: str) -> str:
+    return collapse(rf"regexp_replace(regexp_replace({column}, '\.(?:{_SPACE}+\.)+', '.', 'g'), '^{_SPACE}*\.{_SPACE}*', '')")
+
+
 _NOT_SPACE = "[^" + _SPACE[1:]
 _NAMES = f"[{T.CAPITAL}][{T.CAPITAL}.]*"
 _NOISE = (
@@ -76,10 +81,13 @@ _NOISE = (
 def _without_noise(column: str) -> str:
     for pattern, new in _NOISE:
         column = f"regexp_replace({column}, '{pattern}', '{new}', 'g')"
-    return collapse(_DOT.format(column))
+    return _dots(column)
+
+
+_LINKS = f"regexp_replace(\"Content\", 'https?://{_NOT_SPACE}+|www\\.{_NOT_SPACE}+', ' ', 'g')"
 
 
-@query(f"SELECT article_id, {collapse(_DOT.format(f"regexp_replace(\"Content\", 'https?://{_NOT_SPACE}+|www\\.{_NOT_SPACE}+', ' ', 'g')"))} AS no_links FROM raw_articles")
+@query(f"SELECT article_id, {_dots(_LINKS)} AS no_links FROM raw_articles")
 def txt05_links_and_dots(s, d):
     return _raw(s, d).select("article_id", T.dots(F.regexp_replace("Content", T.NOISE[-1][0], " ")).alias("no_links"))
 
