@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from vanloom.llm import abuse, copies, encoding, lookalike, mixing, overlap, packing, sampling, segment, splits
-from vanloom.session import spread, table
+from vanloom.session import checkpoint_dir, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +21,15 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign(table(spark, d, "to_annotate")).rows
 
 
+def p1_updated(spark: SparkSession, d: str) -> DataFrame:
+    """Two updates through the persisted component table: all rows are assigned, the table is written to the shared folder and read
+    again, and the same rows come in once more. Every component keeps its split."""
+    rows = table(spark, d, "to_annotate")
+    path = f"{checkpoint_dir(spark)}/components-{uuid.uuid4().hex}"
+    splits.save(splits.assign(rows).table, path)
+    return splits.assign(rows, splits.load(spark, path)).rows
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled_fields(table(spark, d, "raw_articles"))
 
@@ -103,7 +113,7 @@ def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.variants(a, b)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_restored, p3_found, p3_report, p4_found, p4_counts, p5_found, p6_found, p6_sample, p6_report, p7_found, p8_bins, p8_report, p9_mix, p9_report, p10_found, p10_scores, p10_rates, p5_unified)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_splits, p1_updated, p2_found, p2_restored, p3_found, p3_report, p4_found, p4_counts, p5_found, p6_found, p6_sample, p6_report, p7_found, p8_bins, p8_report, p9_mix, p9_report, p10_found, p10_scores, p10_rates, p5_unified)}
 _PLAIN = "regexp_replace(lower(coalesce({}, '')), '[\\p{{Z}}\\p{{P}}\\p{{C}}\\s`´^~|<>=+]+', '', 'g')"
 _COPY = f"""c AS (SELECT article_id, {_PLAIN.format('"Summarize"')} AS a, {_PLAIN.format('"Content"')} AS b FROM raw_articles),
  g AS (SELECT article_id, min(article_id) OVER (PARTITION BY least(a, b), greatest(a, b)) AS first_id FROM c)"""

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vanloom.operators.graph import components
@@ -108,12 +108,21 @@ def _choose(units: DataFrame, have: dict[str, float], total: float, want: dict[s
 
 @dataclass
 class Assigned:
-    """rows: row_id, component, split (null: quarantined); table: key, component, split, n_rows, status."""
+    """rows: row_id, component, split (null: quarantined); table: key, component, split, n_rows, status. A row without any id has the key ``row:ID``."""
 
     rows: DataFrame
     table: DataFrame
 
 
+def save(table: DataFrame, path: str) -> None:
+    """Writes the component table; the folder of an earlier update is never overwritten."""
+    table.write.mode("errorifexists").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def assign(rows: DataFrame, before: DataFrame | None = None, proportions: dict[str, float] | None = None, row_id: str = "row_id") -> Assigned:
     """One incremental update.
 
@@ -135,6 +144,13 @@ def assign(rows: DataFrame, before: DataFrame | None = None, proportions: dict[s
     merged = cut(merged.withColumn("status", F.when(F.col("n_old") > 1, "quarantined").when(F.col("n_old") == 1, "kept").otherwise("new")))
     # Rows without any id stand alone; they are new single-row components.
     lone = rows.select(F.col(row_id).alias("row_id"), id_key(F.col("doc_id"), "doc").alias("d"), id_key(F.col("ann_id"), "ann").alias("a")).where("d is null and a is null").select("row_id")
+    seen = None
+    if before is not None:
+        # A row without an id that came before keeps its split, too.
+        old_rows = before.where(F.col("key").startswith("row:")).select(F.substring("key", 5, 40).cast("bigint").alias("row_id"), F.col("split").alias("old"))
+        lone = cut(lone.join(old_rows, "row_id", "left"))
+        seen = lone.where("old is not null").select("row_id", F.col("row_id").alias("component"), F.col("old").alias("split"))
+        lone = lone.where("old is null").select("row_id")
     have = {r.old_split: float(r.n) for r in merged.where("status = 'kept'").groupBy("old_split").agg(F.sum("n_rows").alias("n")).collect()}
     total = float((merged.where("status <> 'quarantined'").agg(F.sum("n_rows")).first()[0] or 0) + lone.count())
     fresh = merged.where("status = 'new'").select(F.col("component").alias("group_id"), "n_rows")
@@ -144,5 +160,8 @@ def assign(rows: DataFrame, before: DataFrame | None = None, proportions: dict[s
     table = cut(found.keys.where(~F.col("key").startswith("old:")).select("key", "root", "key_rows").join(merged, "root").select("key", "component", "split", "n_rows", "status", "key_rows"))
     at = table.select("key", "component", "split", F.greatest("key_rows", F.lit(1)).alias("w"))
     out = lookup_join(found.rows.select("row_id", "key"), at, "key", "w").select("row_id", "component", "split")
-    alone = lone.join(chosen, lone["row_id"] == chosen["group_id"]).select("row_id", F.col("row_id").alias("component"), "split")
-    return Assigned(out.unionByName(alone), table.drop("key_rows"))
+    # Repeated rows without an id are one unit each time; they share the split of their number.
+    alone = cut(lone.join(chosen.dropDuplicates(["group_id"]), lone["row_id"] == chosen["group_id"]).select("row_id", F.col("row_id").alias("component"), "split"))
+    kept = alone.groupBy("row_id", "component", "split").agg(F.count("*").alias("n_rows")).select(F.concat(F.lit("row:"), F.col("row_id").cast("string")).alias("key"), "component", "split", "n_rows", F.lit("new").alias("status"))
+    every = out.unionByName(alone)
+    return Assigned(every if seen is None else every.unionByName(seen), table.drop("key_rows").unionByName(kept))
