@@ -195,3 +195,16 @@ def test_ranks_and_cuts_without_a_sort(spark):
     many = rows.unionByName(rows).unionByName(rows)
     assert ranks.lowest(many, d, 100).count() == 100 and ranks.global_rank(rows.where("false"), ["id"], "k").count() == 0
     assert ranks.group_rank(spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "g string, i int"), "g", ["i"], "k").count() == 3
+
+
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch):
+    from vanloom.operators import graph
+
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, None), (200, 200)]
+    nodes = spark.createDataFrame([(i,) for i in [*range(41), 100, 101, 200, None]], "node bigint")
+    links = spark.createDataFrame(edges, "a bigint, b bigint")
+    want = {(i, 0) for i in range(41)} | {(100, 100), (101, 100), (200, 200)}
+    assert {tuple(r) for r in graph.components(nodes, links).collect()} == want
+    monkeypatch.setattr(graph, "SMALL", 0)
+    assert {tuple(r) for r in graph.components(nodes, links).collect()} == want
+    assert {tuple(r) for r in graph.components(nodes, links.where("false")).collect()} == {(r[0], r[0]) for r in want}

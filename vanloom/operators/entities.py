@@ -58,115 +58,210 @@ class PreAnnotation:
         return [(a, z, text[a:z], lab) for a, z, lab, _ in _select(found, lambda s: (s[3], s[0] - s[1]))]
 
 
-class RuleRecogniser:
-    """Recogniser B: candidates with priorities from rules over tokens, the best of which is selected.
+class _Sentence:
+    """Tokens of one text with what the rules ask of them, and how far a name goes on from a token."""
+
+    def __init__(self, text: str, rules: "RuleRecogniser"):
+        self.text, self.rules = text, rules
+        self.toks = [(m.start(), m.end(), m.group()) for m in rules.token.finditer(text)]
+        self.low = [rules.norm(t[2]) for t in self.toks]
+        self.n = len(self.toks)
+
+    def word(self, i: int) -> str:
+        return self.low[i] if 0 <= i < self.n else ""
+
+    def sign(self, i: int) -> str:
+        return self.toks[i][2] if 0 <= i < self.n else ""
+
+    def capital(self, i: int) -> bool:
+        return self.sign(i)[:1].isupper()
+
+    def named(self, i: int) -> bool:
+        return self.capital(i) or self.sign(i).isdigit()
+
+    def has(self, i: int, words: list[str]) -> bool:
+        return self.low[i : i + len(words)] == words
+
+    def cue_within(self, a: int, z: int) -> bool:
+        """Whether an agency or administrative unit overlaps the tokens."""
+        return any(self.has(i, w) and i < z and a < i + len(w) for i in range(max(0, a - 4), z) for w in self.rules.barrier.get(self.word(i), ()))
+
+    def _run(self, i: int, limit: int, fits, joints: str) -> int:
+        """Tokens that fit, and joints between two of them, up to a stop word."""
+        j, stop = i, self.rules.stop
+        while j < min(self.n, i + limit) and self.low[j] not in stop:
+            if not fits(j) and not (self.sign(j) in joints and fits(j + 1) and self.word(j + 1) not in stop):
+                break
+            j += 1
+        return j
+
+    def person(self, i: int) -> int:
+        return self._run(i, 4, self.capital, ".")
+
+    def place(self, i: int) -> int:
+        return self._run(i, 6, self.named, ".-")
+
+    def organisation(self, i: int) -> int:
+        """Where the name that follows a cue ends: a walk over the tokens with two states, whether a part of a name came last and whether the police was named."""
+        r, j, name, police = self.rules, i, False, False
+        while j < min(self.n, i + 14):
+            w, sign, nxt = self.low[j], self.sign(j), self.word(j + 1)
+            unit = next((u for u in r.inside if self.has(j, u)), None) if name and not police else None
+            if unit:
+                j += len(unit)
+                continue
+            if w in r.block:
+                break
+            if self.named(j) or sign == "&":
+                name = True
+            elif sign in (".", "-") and self.named(j + 1) and nxt not in r.block and nxt not in r.stop or sign == "," and name and nxt in r.after_comma:
+                pass
+            elif w == "và":
+                # "And" joins parts of a name, not two agencies.
+                if not name or j + 1 >= self.n or (nxt in r.heads and self.capital(j + 1)):
+                    break
+            elif w == "an" and j > i and self.word(j - 1) == "công" and not police:
+                name = police = True
+            elif police or j == i:
+                if w not in r.after_cue:
+                    break
+                name = True
+            elif w == "báo" and self.word(j - 1) == "nhà":
+                name = True
+            elif not (name and w in r.inner and self._goes_on(j)):
+                break
+            j += 1
+        return self._trimmed(i, j)
+
+    def _goes_on(self, j: int) -> bool:
+        """Whether a small word is within a name: it is one that may end it, or the next token continues it or is no word."""
+        return self.low[j] in self.rules.final or j + 1 >= self.n or not any(c.isalnum() for c in self.sign(j + 1)) or self.named(j + 1) or self.word(j + 1) in self.rules.inner
+
+    def _trimmed(self, i: int, j: int) -> int:
+        """Without trailing signs, numbers that belong to nothing and words that end no name."""
+        while j > i:
+            last = self.sign(j - 1)
+            if last.isdigit():
+                if j - 2 >= i and (self.word(j - 2) in self.rules.number_prefix or self.sign(j - 2) == "."):
+                    break
+            elif not (last in (".", "-") or (self.word(j - 1) in self.rules.dangling and not self.capital(j - 1))):
+                break
+            j -= 1
+        return j
+
 
-    Tokens are mapped to class letters, and the extent of a name is a regular expression over those: a
-    capitalised word C, a number N, a word inside organisation names i, a lower-case word x, punctuation p.
-    """
+class RuleRecogniser:
+    """Recogniser B: candidates with priorities from rules over tokens, the best of which is selected."""
 
     def __init__(self, dictionary: dict[str, list[str]] | None = None):
-        self.dictionary = [(label, self._words(p), len(p)) for label, some in (dictionary or {}).items() for p in some]
-        self.cues = sorted((c.split() for c in V.ORG_CUES_B), key=len, reverse=True)
-        self.units = sorted((u.split() for u in V.PLACE_UNITS_B), key=len, reverse=True)
-        self.unit_ends = {u[-1] for u in self.units}
-        self.roles = [r.split() for r in V.ROLE_PHRASES_B]
+        self.token = regex.compile(r"[\p{L}\p{M}\p{N}]+|[^\w\s]")
         self.inner, self.surnames, self.titles = set(V.ORG_INNER_B), set(V.SURNAMES_B), set(V.TITLES_B)
-        self.fixed = [(lab, self._words(p), len(p)) for lab, some in (("DRUG", V.DRUG_TERMS_B), ("PRODUCT", V.PRODUCT_TERMS_B), ("CRIME", V.CRIME_TERMS_B)) for p in some]
-        self.places = [(self._words(p), len(p)) for p in V.PLACES_B]
+        self.block, self.stop, self.final, self.dangling = set(V.ORG_BLOCK_B), set(V.NAME_STOP_B), set(V.ORG_FINAL_B), set(V.ORG_DANGLING_B)
+        self.after_comma, self.after_cue, self.number_prefix = set(V.ORG_COMMA_B), set(V.ORG_AFTER_CUE_B), set(V.ORG_NUMBER_PREFIX_B)
+        self.offices, self.name_block, self.not_after, self.place_words = set(V.OFFICES_B), set(V.NAME_BLOCK_B), set(V.NAME_NOT_AFTER_B), set(V.PLACE_WORDS_B)
+        self.noise = set(V.PRODUCT_NOISE_B)
+        self.inside = [self._words(u) for u in V.ORG_UNITS_B]
+        cues, alone, units = ([self._words(x) for x in some] for some in (V.ORG_CUES_B, V.ORG_ALONE_B, V.PLACE_UNITS_B))
+        self.heads = {w[0] for w in (*cues, *alone)}
+        self.barrier: dict[str, list[list[str]]] = {}
+        for w in (*cues, *alone, *units):
+            # "CA" is a cue in capitals only; a name may have that word.
+            if w != ["ca"]:
+                self.barrier.setdefault(w[0], []).append(w)
         self.times = [(regex.compile(p, regex.I), n) for p, n in V.TIMES_B]
         self.money = regex.compile(V.MONEY_B, regex.I)
-        self.brand = regex.compile(r"(?:" + "|".join(V.BRAND_HEADS_B) + r")\s*,?\s*(?:nhãn\s+)?hiệu\s+\p{Lu}[\p{L}\p{N}]*(?:\s+\p{Lu}[\p{L}\p{N}]*)*", regex.I & 0)
         # Phrases by their first word, so that a token is compared only with phrases it may begin.
+        fixed = (("DRUG", V.DRUG_TERMS_B), ("PRODUCT", V.PRODUCT_TERMS_B), ("CRIME", V.CRIME_TERMS_B))
+        groups = {
+            "dictionary": [(lab, self._words(p), 120) for lab, some in (dictionary or {}).items() for p in some],
+            "phrase": [(lab, self._words(p), 90) for lab, some in fixed for p in some],
+            "place": [("LOCATION", self._words(p), 72) for p in V.PLACES_B],
+            "cue": [("", w, 0) for w in cues],
+            "alone": [("", w, 0) for w in alone],
+            "unit": [("", w, 0) for w in units],
+            "role": [("", self._words(p), 0) for p in V.ROLE_PHRASES_B],
+            "brand": [("", self._words(p), 0) for p in V.BRAND_HEADS_B],
+        }
         self.by_first: dict[str, list[tuple[str, list[str], int]]] = {}
-        for kind, some in (("dictionary", [(lab, w, 120 + n) for lab, w, n in self.dictionary]), ("phrase", [(lab, w, 90 + n) for lab, w, n in self.fixed]), ("place", [("LOCATION", w, 72 + n) for w, n in self.places]), ("cue", [("", w, 0) for w in self.cues]), ("unit", [("", w, 0) for w in self.units]), ("role", [("", w, 0) for w in self.roles])):
-            for lab, w, n in some:
-                self.by_first.setdefault(f"{kind}:{w[0]}", []).append((lab, w, n))
-        self.token = regex.compile(r"[\p{L}\p{M}\p{N}]+|[^\w\s]")
+        for kind, some in groups.items():
+            for lab, w, base in some:
+                # Of a group, longer phrases rank higher.
+                self.by_first.setdefault(f"{kind}:{w[0]}", []).append((lab, w, base + len(w)))
 
     @staticmethod
-    def _norm(word: str) -> str:
+    def norm(word: str) -> str:
         return unicodedata.normalize("NFC", word.replace("Ð", "Đ").replace("ð", "đ")).casefold().replace("tuý", "túy").replace("uỷ", "ủy")
 
     def _words(self, phrase: str) -> list[str]:
-        return [self._norm(w) for w in phrase.split()]
-
-    def _class(self, word: str, low: str) -> str:
-        if not word[0].isalnum():
-            return "," if word == "," else "." if word == "." else "p"
-        if word[0].isdigit():
-            return "N"
-        if word[0].isupper():
-            return "C"
-        return "i" if low in self.inner else "x"
+        return [self.norm(m.group()) for m in self.token.finditer(phrase)]
 
     def candidates(self, text: str) -> list[tuple[int, int, str, str, int]]:
         """(start, end, label, rule, priority)."""
-        toks = [(m.start(), m.end(), m.group()) for m in self.token.finditer(text)]
-        low = [self._norm(t[2]) for t in toks]
-        cls = "".join(self._class(t[2], w) for t, w in zip(toks, low, strict=True))
+        s = _Sentence(text, self)
         out: list[tuple[int, int, str, str, int]] = []
 
         def add(i: int, j: int, label: str, rule: str, priority: int):
-            if j > i:
-                out.append((toks[i][0], toks[j - 1][1], label, rule, priority))
-
-        def at(i: int, words: list[str]) -> bool:
-            return low[i : i + len(words)] == words
-
-        def extent(i: int, pattern: str) -> int:
-            m = regex.match(pattern, cls[i:])
-            return i + (m.end() if m else 0)
-
-        before = lambda i: low[i - 1] if i else ""
-        some = lambda kind, i: self.by_first.get(f"{kind}:{low[i]}", ()) if i < len(low) else ()
-        for i in range(len(toks)):
-            for label, words, rank in some("dictionary", i):
-                if at(i, words):
-                    add(i, i + len(words), label, "dictionary", rank)
-            for _, words, _ in some("cue", i):
-                if at(i, words):
-                    upper = cls[i] == "C"
-                    if words == ["ca"] and toks[i][2] != "CA":
+            if i < j:
+                out.append((s.toks[i][0], s.toks[j - 1][1], label, rule, priority))
+
+        def at(kind: str, i: int) -> list[tuple[str, list[str], int]]:
+            return [x for x in self.by_first.get(f"{kind}:{s.word(i)}", ()) if s.has(i, x[1])]
+
+        generic = 0
+        for i in range(s.n):
+            for label, words, rank in at("dictionary", i):
+                add(i, i + len(words), label, "dictionary", rank)
+            for kind in ("alone", "cue"):
+                for _, words, _ in at(kind, i):
+                    end = i + len(words)
+                    if not (s.capital(i) or s.named(end) or s.word(end) in self.after_cue):
                         continue
-                    end = extent(i + len(words), r"(?:i*(?:C\.?|N))+" if upper else r"(?:i*(?:C\.?|N))+")
-                    if end > i + len(words) and before(i) not in ("chánh", "phó", "trưởng", "giám", "đốc"):
-                        add(i, end - (cls[end - 1] == "."), "ORGANIZATION", "cue", 110)
-                    break
-            if low[i] in ("đảng",) or any(at(i, w.split()) for w in V.ORG_ALONE_B):
-                if cls[i] == "C":
-                    n = next((len(w.split()) for w in V.ORG_ALONE_B if at(i, w.split())), 1)
-                    add(i, i + n, "ORGANIZATION", "alone", 110)
-            if low[i] in ("ở", "tại", "thuộc") and not any(at(i + 1, w) for kind in ("cue", "unit") for _, w, _ in some(kind, i + 1)):
-                add(i + 1, extent(i + 1, r"C{1,6}"), "LOCATION", "preposition", 65)
-            for _, unit, _ in some("unit", i):
-                if at(i, unit):
-                    start = i + len(unit) + (cls[i + len(unit) : i + len(unit) + 1] == ".")
-                    end = extent(start, r"(?:C{1,4}|N)")
-                    if end > start:
-                        add(i, end, "LOCATION", "unit", 80)
-                    break
-            for label, words, rank in some("place", i):
-                if cls[i] == "C" and at(i, words) and before(i) != "người" and before(i) not in self.unit_ends:
+                    if kind == "cue" and (s.word(i - 1) in self.offices or (words == ["ca"] and not s.sign(i).isupper())):
+                        continue
+                    stop = s.organisation(end)
+                    if kind == "alone" or stop > end:
+                        add(i, max(end, stop), "ORGANIZATION", kind, 110)
+            if s.low[i] in ("ở", "tại", "thuộc") and s.capital(i + 1) and s.word(i + 1) not in self.place_words | self.offices:
+                stop = s.place(i + 1)
+                if not s.cue_within(i + 1, stop):
+                    add(i + 1, stop, "LOCATION", "preposition", 65)
+            for _, words, _ in at("unit", i):
+                start = i + len(words)
+                start += s.sign(start) == "."
+                stop = s.place(start)
+                if stop > start:
+                    add(i, stop, "LOCATION", "unit", 80)
+            for label, words, rank in at("place", i):
+                if s.word(i - 1) != "người" and s.word(i - 1) not in self.place_words:
                     add(i, i + len(words), label, "gazetteer", rank)
-            if low[i] in self.titles:
-                add(i + 1, extent(i + 1, r"C{1,4}"), "PERSON", "title", 85)
-            for _, words, _ in some("role", i):
-                if at(i, words):
-                    add(i + len(words), extent(i + len(words), r"C{1,4}"), "PERSON", "role", 60)
-            if cls[i] == "C" and low[i] in self.surnames and (not i or cls[i - 1] != "C"):
-                end = extent(i, r"C{2,4}")
-                if end - i >= 2 and before(i) not in self.unit_ends:
-                    add(i, end, "PERSON", "surname", 35)
-            for label, words, rank in some("phrase", i):
-                if at(i, words) and not (words == ["dao"] and low[i + 1 : i + 2] == ["động"]):
-                    add(i, i + len(words), label, "phrase", rank)
-        starts, ends = {t[0] for t in toks}, {t[1] for t in toks}
+            people = [(i + 1, 85, "title")] if s.low[i] in self.titles else []
+            people += [(i + len(words), 60, "role") for _, words, _ in at("role", i)]
+            for start, priority, rule in people:
+                stop = s.person(start) if s.capital(start) else start
+                if not s.cue_within(start, stop):
+                    add(start, stop, "PERSON", rule, priority)
+            if i >= generic and s.capital(i) and s.low[i] not in self.name_block and s.word(i - 1) not in self.not_after:
+                stop = s.person(i)
+                if stop - i >= 2 and s.low[i] in self.surnames and not s.cue_within(i, stop):
+                    add(i, stop, "PERSON", "surname", 35)
+                generic = max(stop, i + 1)
+            for label, words, rank in at("phrase", i):
+                start, end = i, i + len(words)
+                if words == ["dao"] and s.word(end) == "động":
+                    continue
+                while label == "PRODUCT" and start < end - 1 and s.low[start] in self.noise:
+                    start += 1
+                add(start, end, label, "phrase", rank)
+            for _, words, _ in at("brand", i):
+                end = i + len(words)
+                if s.word(end) == "hiệu" and s.person(end + 1) > end + 1:
+                    add(i, s.person(end + 1), "PRODUCT", "brand", 95)
+        starts, ends = {t[0] for t in s.toks}, {t[1] for t in s.toks}
         # Regular expressions count where both ends are token ends.
-        for rx, label, rule, priority in [*((rx, "TIME", "time", n) for rx, n in self.times), (self.money, "MONEY", "money", 105), (self.brand, "PRODUCT", "brand", 95)]:
+        for rx, label, rule, priority in [*((rx, "TIME", "time", n) for rx, n in self.times), (self.money, "MONEY", "money", 105)]:
             for m in rx.finditer(text):
-                born = label == "TIME" and regex.search(r"(?:sinh|SN)\s*$", text[: m.start()], regex.I)
-                if m.start() in starts and m.end() in ends and not (born and priority == 100):
+                born = label == "TIME" and priority == 100 and regex.fullmatch(r"(?:19|20)\d{2}", m.group()) and regex.search(r"(?:sinh|SN)\s*$", text[max(0, m.start() - 12) : m.start()], regex.I)
+                if m.start() in starts and m.end() in ends and not born:
                     out.append((m.start(), m.end(), label, rule, priority))
         return out
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +10,33 @@ from vanloom.session import cut
 
 #: Lineage is cut each round; more rounds than this for a graph means a bug, not a large graph.
 MAX_ROUNDS = 60
+#: Up to so many links left, one task finishes the work; more are contracted by another round.
+SMALL = 500_000
+
+
+def _settled(links: DataFrame) -> DataFrame:
+    """``from_, to_`` of at most SMALL links: the smallest node of each node's component, by union-find in one task."""
+    kind = dict(links.dtypes)["lo"]
+
+    def run(batches):
+        up: dict = {}
+
+        def top(x):
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x, y = top(x), top(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+        nodes = list(up)
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([top(n) for n in nodes])], names=["from_", "to_"])
+
+    return links.select("lo", "hi").coalesce(1).mapInArrow(run, f"from_ {kind}, to_ {kind}")
 
 
 def components(nodes: DataFrame, edges: DataFrame, *, node: str = "node", a: str = "a", b: str = "b") -> DataFrame:
@@ -23,8 +51,12 @@ def components(nodes: DataFrame, edges: DataFrame, *, node: str = "node", a: str
     links = links.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).distinct()
     for _ in range(MAX_ROUNDS):
         links = cut(links)
-        if links.isEmpty():
+        left = links.count()
+        if not left:
             return labels
+        if left <= SMALL:
+            hook = _settled(links)
+            return cut(labels.join(hook, labels["root"] == hook["from_"], "left").select(node, F.coalesce("to_", "root").alias("root")))
         both = links.unionByName(links.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
         hook = both.groupBy(F.col("lo").alias("from_")).agg(F.min("hi").alias("near"))
         hook = cut(hook.select("from_", F.least("from_", "near").alias("to_")))

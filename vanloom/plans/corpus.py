@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vanloom.functions.text import at
-
 from vanloom.functions import text as T
+from vanloom.functions.spans import alternation
+from vanloom.functions.text import at
 from vanloom.operators import dedup, sampling
+from vanloom.operators import vocabulary as V
 from vanloom.operators.ranks import global_rank, group_rank
 from vanloom.plans.registry import _SPACE, collapse, norm, query, words
 from vanloom.session import table
@@ -301,14 +302,22 @@ def win03_stratified(s, d):
     return sampling.stratified(rows, "g", 600, "row_id").select("row_id")
 
 
-@query()
-def win04_enriched(s, d):
-    from vanloom.functions.spans import alternation
-    from vanloom.operators import vocabulary as V
+def _stratified_sql(name: str, source: str, n: str) -> str:
+    md5 = lambda seed: f"md5('{seed}:' || CAST(row_id AS VARCHAR)), row_id"
+    return f"""{name}_first AS (SELECT row_id, doc_id, g FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {md5(42)}) AS rk FROM {source}) WHERE rk <= (SELECT {n} // greatest(count(DISTINCT g), 1) FROM {source})),
+ {name} AS (SELECT row_id, doc_id, g FROM {name}_first UNION ALL SELECT row_id, doc_id, g FROM (SELECT *, row_number() OVER (ORDER BY {md5(43)}) AS rk FROM {source} WHERE row_id NOT IN (SELECT row_id FROM {name}_first)) WHERE rk <= {n} - (SELECT count(*) FROM {name}_first))"""
 
+
+_KEYWORDS = alternation([p for some in V.TRIGGERS_A.values() for p in some])
+_RE2_WORDS = _KEYWORDS.replace("(?iu)", "(?i)")
+
+
+@query(f"""WITH st AS (SELECT row_id, doc_id, sentence, coalesce("SubLabel", '') AS g FROM sentences WHERE sentence IS NOT NULL), hits AS (SELECT * FROM st WHERE regexp_matches(sentence, '{_RE2_WORDS}')),
+ {_stratified_sql("kw", "hits", "300")}, others AS (SELECT * FROM st WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM kw WHERE doc_id IS NOT NULL)),
+ {_stratified_sql("more", "others", "(600 - (SELECT count(*) FROM kw))")} SELECT row_id, g FROM kw UNION ALL SELECT row_id, g FROM more""")
+def win04_enriched(s, d):
     rows = table(s, d, "sentences").where("sentence is not null").select("row_id", "doc_id", "sentence", F.coalesce("SubLabel", F.lit("")).alias("g"))
-    hit = F.col("sentence").rlike(alternation([p for some in V.TRIGGERS_A.values() for p in some]))
-    return sampling.enriched(rows, hit, "doc_id", "g", 600, "row_id").select("row_id", "g")
+    return sampling.enriched(rows, F.col("sentence").rlike(_KEYWORDS), "doc_id", "g", 600, "row_id").select("row_id", "g")
 
 
 @query("SELECT row_id, row_number() OVER (ORDER BY md5('42:' || CAST(row_id AS VARCHAR)), row_id) AS pos FROM to_annotate")
