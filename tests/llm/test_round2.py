@@ -103,3 +103,23 @@ def test_p2_chains_of_different_steps(model):  # noqa: F811
     old = encoding.garble(CLEAN[1], "tcvn3")
     got = encoding.repair(encoding.garble(old, "latin-1"), model)
     assert got.text == "".join(encoding.TCVN.get(c, c) for c in old) and got.chain == "utf-8>western+tcvn3>western"
+
+
+def test_p5_forms_and_keys(spark):
+    from vanloom.llm import lookalike
+
+    assert lookalike.unify("ﬁle ｶﾀｶﾅ") == "file カタカナ" and lookalike.unify("lωng ьút m² Ⅳ ½ №") == "lwng bút m² Ⅳ ½ №"
+    assert lookalike.unify("ωμέγα мьсль") == "ωμέγα мьсль"
+    keys = [lookalike.compare_key(t) for t in ("Ｔòa  ÁN m² STRASSE", "tòa án M2 straße", "to\u0300a\u00a0a\u0301n m\u00b2 strasse\u200b")]
+    assert len(set(keys)) == 1 and lookalike.compare_key(None) is None and lookalike.compare_key("") == ""
+    a = spark.createDataFrame([(1, "Ｔòa án", "x"), (2, "Tòa án", "x"), (3, None, None), (4, encoding.garble("Tòa án nhân dân\u200b", "western"), "x")], "article_id bigint, Content string, unified string")
+    s = spark.createDataFrame([(7, "nhân\u00a0dân"), (8, "")], "row_id bigint, sentence string")
+    got = {(r.table_name, r.record_id): r.compare_key for r in lookalike.one_form(a, s).collect()}
+    assert got[("raw_articles", 1)] == "tòa án" and got[("sentences", 7)] == "nhân dân" and ("raw_articles", 2) not in got and ("sentences", 8) not in got
+
+
+def test_p8_tokens_need_no_other_package():
+    from vanloom.llm import tokens
+
+    P = pytest.importorskip("public_tokenizers")
+    assert tokens.PATTERN == P.PATTERN

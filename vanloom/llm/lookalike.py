@@ -26,11 +26,12 @@ from vanloom.llm.encoding import repair, scan
 # Letters that look like a Latin one, grouped by script.
 LIKE = dict(zip(
     "АВЕЅІЈКМНОРСТУХҮԌԛԝасеѕіјорухүһԁӏ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαικνρυχ" "ՕՍօոսց" "ᎪᏴᏟᎠᎬᎻᎫᎦᎷᏢᎡᏚᎢᏙᏔ" "ðÐƉɖıɑɡ",
-    "ABESIJKMHOPCTYXYGqwaceSijopyxyhdl" "ABEZHIKMNOPTYXoaiKvpux" "OUonug" "AVCDEHJSMPRSTVW" "đĐĐđiag", strict=True)) | {"ѕ": "s", "κ": "k"}
+    "ABESIJKMHOPCTYXYGqwaceSijopyxyhdl" "ABEZHIKMNOPTYXoaiKvpux" "OUonug" "AVCDEHJSMPRSTVW" "đĐĐđiag", strict=True)) | {"ѕ": "s", "κ": "k"} | dict(zip("ьѵωηⲟⲞꓐꓳꓢʀʏ", "bvwnoOBOSRY", strict=True))
 _SPACE = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
 _HIDDEN = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufff8\U000e0000-\U000e0fff"
 _WIDE = "０-９Ａ-Ｚａ-ｚ"
-_MATH = "\U0001d400-\U0001d7ff"
+#: Letters that stand for others in one glyph or at half width.
+_MATH = "\U0001d400-\U0001d7ff\ufb00-\ufb06\uff65-\uff9f"
 _MARK = "\u0300-\u036f\u3099\u309a"
 _JOIN = r"(?<=[\p{So}\p{Sk}\ufe0f].)(?=[\p{So}\p{Sm}])"
 _KEEP = regex.compile(rf"\u200d{_JOIN}|[\ufe0e\ufe0f](?<=[\p{{So}}\p{{Sm}}#*0-9©®‼⁉™].)|[\U000e0020-\U000e007f](?<=\p{{So}}[\U000e0020-\U000e007f]+)")
@@ -79,16 +80,19 @@ def unify(text: str | None) -> str | None:
 
 
 def compare_key(text: str | None) -> str | None:
-    """Case-folded form with single spaces, for comparing texts."""
-    return None if text is None else " ".join(unicodedata.normalize("NFC", unify(text).casefold()).split())
+    """The form in which texts are compared: unified, in compatibility composed form, with full case folding and single spaces. Symbols that
+    ``unify`` leaves as they are, such as ² or Ⅳ, are equal to their plain letters here."""
+    if text is None:
+        return None
+    return " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", unify(text)).casefold()).split())
 
 
-def unified(text: Column) -> Column:
-    """``unify`` as a column, once per distinct value of a batch."""
+def compared(text: Column) -> Column:
+    """``compare_key`` as a column, once per distinct value of a batch."""
 
     @F.pandas_udf("string")
     def slow(texts: pd.Series) -> pd.Series:
-        return texts.map({t: unify(t) for t in texts.dropna().unique()})
+        return texts.map({t: compare_key(t) for t in texts.dropna().unique()})
 
     return slow(text)
 
@@ -142,3 +146,9 @@ def variants(articles: DataFrame, sentences: DataFrame) -> DataFrame:
     """``table_name, record_id, unified`` over both tables."""
     a = differing(articles, "article_id", "Content", "raw_articles", but_garbled=True, also=("Summarize",))
     return a.unionByName(differing(sentences, "row_id", "sentence", "sentences"))
+
+
+def one_form(articles: DataFrame, sentences: DataFrame) -> DataFrame:
+    """``table_name, record_id, unified, compare_key`` of every text that has variants, garbled ones too."""
+    both = differing(articles, "article_id", "Content", "raw_articles").unionByName(differing(sentences, "row_id", "sentence", "sentences"))
+    return both.withColumn("compare_key", compared(F.col("unified")))
