@@ -151,3 +151,28 @@ def test_annotation_key_is_a_multiset(spark):
     df = spark.createDataFrame([(1, [("An", "PERSON"), ("Huế", "LOCATION")]), (2, [("huế", "LOCATION"), ("an", "PERSON")]), (3, [("An", "PERSON"), ("An", "PERSON")]), (4, [("An", "PERSON")]), (5, None)], f"i int, e {e}")
     k = {r.i: r.k for r in df.select("i", dedup.annotation_key(F.col("e")).alias("k")).collect()}
     assert k[1] == k[2] and len({k[1], k[3], k[4], k[5]}) == 4
+
+
+def test_one_prediction_per_record(spark):
+    gold = spark.createDataFrame([("a",), ("b",), ("a",)], "ann_id string")
+    pred = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("b", 1, "x"), ("z", 1, "extra")], "ann_id string, k int, v string")
+    assert {(r.ann_id, r.v) for r in metrics.one_prediction(gold, pred, "k").collect()} == {("a", "new"), ("b", "x")}
+    with pytest.raises(Exception, match="no prediction for record b"):
+        metrics.one_prediction(gold, pred.where("ann_id <> 'b'"), "k").collect()
+
+
+def test_sheets_and_empty_files(spark, tmp_path):
+    io.write_sheets({"one": spark.createDataFrame([(1, "a")], "i int, t string"), "two": spark.createDataFrame([("b",)], "t string")}, str(tmp_path / "s"))
+    got = io.read_sheets(spark, str(tmp_path / "s"), {"one": "i int, t string", "two": "t string"})
+    assert got["one"].first().t == "a" and got["two"].first().t == "b"
+    (tmp_path / "empty.jsonl").write_text("")
+    with pytest.raises(ValueError, match="no records"):
+        io.read_ner(spark, str(tmp_path / "empty.jsonl"))
+
+
+def test_numbered_triggers_of_labels(spark):
+    from vanloom.functions import spans as S
+
+    df = spark.createDataFrame([("bắt giữ rồi khởi tố", ["B-BAT_GIU", "I-BAT_GIU", "O", "B-KHOI_TO", "I-KHOI_TO"])], "t string, l array<string>")
+    got = df.select(S.bio_triggers(S.finditer(F.col("t"), r"\S+", ""), F.col("l"), F.col("t")).alias("x")).first().x
+    assert [(x.id, x.text, x.label) for x in got] == [("t0", "bắt giữ", "BAT_GIU"), ("t1", "khởi tố", "KHOI_TO")]

@@ -180,6 +180,11 @@ def bio_decode(tokens: Column, labels: Column, text: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), text.substr(s["start"] + 1, s["end"] - s["start"]).alias("text"), s["label"].alias("label")))
 
 
+def bio_triggers(tokens: Column, labels: Column, text: Column) -> Column:
+    """``bio_decode`` of event triggers, numbered t0, t1, … in text order."""
+    return F.transform(bio_decode(tokens, labels, text), lambda s, i: F.struct(F.concat(F.lit("t"), i.cast("string")).alias("id"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), s["label"].alias("label")))
+
+
 def marked_pair(text: Column, trigger: Column, entity: Column) -> Column:
     """``<EVENT> <ENTITY> …`` with the trigger in <t> and the entity in <e>; they must not overlap."""
     first_t = trigger["start"] < entity["start"]

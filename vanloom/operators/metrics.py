@@ -68,6 +68,16 @@ def event_views(records: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def one_prediction(gold: DataFrame, pred: DataFrame, order: str | None = None) -> DataFrame:
+    """The predictions of the gold records, one each: of several the last by ``order`` (by position where None). A gold record without a
+    prediction is an error that names it; predictions of unknown records are dropped."""
+    at = F.col(order) if order else F.monotonically_increasing_id()
+    last = pred.withColumn("_at", at).groupBy("ann_id").agg(F.max_by(F.struct(*[c for c in pred.columns if c != "ann_id"]), "_at").alias("_r"))
+    both = gold.select("ann_id").distinct().join(last, "ann_id", "left")
+    missing = F.raise_error(F.concat(F.lit("no prediction for record "), F.col("ann_id").cast("string")))
+    return both.where(F.when(F.col("_r").isNull(), missing).otherwise(F.lit(True))).select("ann_id", "_r.*")
+
+
 def event_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Scores of the five event metrics; predictions of unknown records are dropped, missing ones count as empty."""
     pred = pred.join(gold.select("ann_id").distinct(), "ann_id", "left_semi")

@@ -255,6 +255,24 @@ def agg01_clean_report(s, d):
     return f.groupBy("split").agg(F.count("*").alias("rows_in"), F.count_if("leak").alias("leaked"), F.count_if(F.expr("dup and not leak")).alias("duplicates"), F.count_if(F.expr("not dup and not leak")).alias("rows_out"))
 
 
+_LEAK_AFTER = _LEAK
+for _c in ("Content", "Summarize"):
+    _LEAK_AFTER = _LEAK_AFTER.replace(norm(f"coalesce(\"{_c}\",'')"), norm(f"coalesce({_without_noise(chr(34) + _c + chr(34))},'')"))
+_BAD = f"coalesce(\"Label\" = 'Khác' AND \"SubLabel\" <> '{NO_VIOLATION}', false)"
+
+
+@query(f"""WITH f AS ({_LEAK_AFTER}), r AS (SELECT split, count(*) AS rows_in, count(*) FILTER (WHERE "Content" IS DISTINCT FROM {_without_noise('"Content"')}) AS noise_docs_changed, count(*) FILTER (WHERE {_BAD}) AS sublabel_fixed FROM raw_articles GROUP BY split)
+ SELECT r.*, count(*) FILTER (WHERE f.leak) AS leak_removed, count(*) FILTER (WHERE f.dup AND NOT f.leak) AS dup_removed, count(*) FILTER (WHERE NOT f.dup AND NOT f.leak) AS rows_out FROM r JOIN f USING (split) GROUP BY ALL""")
+def agg01_run_report(s, d):
+    """The whole cleaning step per split: noise removed, labels fixed, then leaks and repetitions of what is left of the texts."""
+    rows = _raw(s, d).select("split", "row_idx", F.col("Content").alias("before"), T.remove_noise(F.col("Content")).alias("Content"), T.remove_noise(F.col("Summarize")).alias("Summarize"), "Label", "SubLabel")
+    bad = F.coalesce((F.col("Label") == "Khác") & (F.col("SubLabel") != NO_VIOLATION), F.lit(False))
+    first = rows.groupBy("split").agg(F.count("*").alias("rows_in"), F.count_if(~F.col("before").eqNullSafe(F.col("Content"))).alias("noise_docs_changed"), F.count_if(bad).alias("sublabel_fixed"))
+    flags = dedup.leak_safe(rows.select("split", "row_idx", "Content", "Summarize"))
+    last = flags.groupBy("split").agg(F.count_if("leak").alias("leak_removed"), F.count_if(F.expr("dup and not leak")).alias("dup_removed"), F.count_if(F.expr("not dup and not leak")).alias("rows_out"))
+    return first.join(last, "split")
+
+
 @query(f"WITH {_KEYS} SELECT article_id, coalesce(row_number() OVER (PARTITION BY split, k_full ORDER BY row_idx) > 1 AND k_full IS NOT NULL, false) AS repeated FROM keys")
 def win01_keep_first(s, d):
     rows = dedup.keyed(_raw(s, d)).select("article_id", "split", "row_idx", "k_full")

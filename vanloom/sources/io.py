@@ -97,9 +97,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = EVENT_RECORD, stric
 
 
 def read_ner(spark: SparkSession, path: str) -> DataFrame:
-    """Token records with the legacy date labels rewritten to TIME."""
+    """Token records with the legacy date labels rewritten to TIME. A missing file is Spark's error, an empty one a ValueError."""
     old = lambda x: F.regexp_replace(x, "DATE[/_]TIME", "TIME")
     df = read_jsonl(spark, path, NER_RECORD)
+    if df.isEmpty():
+        raise ValueError(f"no records in {path}")
     return df.withColumn("labels", F.transform("labels", old))
 
 
@@ -143,6 +145,11 @@ def write_sheets(frames: dict[str, DataFrame], path: str) -> None:
         write_csv(df, os.path.join(path, f"sheet={name}"))
 
 
+def read_sheets(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The named sheets of a report that ``write_sheets`` wrote."""
+    return {name: read_csv(spark, os.path.join(path, f"sheet={name}"), schema) for name, schema in schemas.items()}
+
+
 def rules(path: str) -> dict[str, list[str]]:
     """Rule phrases by label from a small JSON file, a byte-order mark allowed; a missing file gives none. Labels are normalised, unknown ones refused."""
     if not os.path.exists(path):
