@@ -27,14 +27,16 @@ def _settled(links: DataFrame) -> DataFrame:
                 x = up[x]
             return x
 
+        of = None
         for b in batches:
+            of = b.schema.field(0).type
             for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 x, y = top(x), top(y)
                 if x != y:
                     up[max(x, y)] = min(x, y)
         nodes = list(up)
         if nodes:
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([top(n) for n in nodes])], names=["from_", "to_"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, of), pa.array([top(n) for n in nodes], of)], names=["from_", "to_"])
 
     return links.select("lo", "hi").coalesce(1).mapInArrow(run, f"from_ {kind}, to_ {kind}")
 
