@@ -436,7 +436,7 @@ def _lint_records(s, d) -> DataFrame:
 def _lint_sql() -> str:
     quoted = lambda some: ", ".join(f"'{x}'" for x in some)
     near = f"abs(g.\"start\" - t.s) < {_LINT_REACH} AND {_ROLE} IS NOT NULL"
-    missed = " UNION ALL ".join(f"SELECT x.row_id, m.start AS s, m.\"end\" AS e, '{label}' AS label FROM to_annotate x, LATERAL {finditer('x.sentence', '(?i)' + phrase)} m WHERE x.sentence IS NOT NULL" for phrase, label in lint.OFTEN_MISSED.items())
+    missed = " UNION ALL ".join(f"SELECT x.row_id, m.start AS s, m.\"end\" AS e, m.text FROM to_annotate x, LATERAL {finditer('x.sentence', '(?i)' + phrase)} m WHERE x.sentence IS NOT NULL" for phrase in lint.OFTEN_MISSED)
     return f"""WITH {_GOLD}, {_trigger_sql('trig', LINT_WORDS)}, seen AS ({missed}),
  ent AS (SELECT g.row_id, g."start", g.sentence, g.label, least(g."end" + 1, length(g.sentence)) AS z, trim(substring(g.sentence, g."start" + 1, g."end" + 1 - g."start"), ' ') AS text FROM gold g),
  word AS (SELECT t.*, substring(x.sentence, t.s + 1, t.e - t.s) AS text, x.sentence FROM trig t JOIN to_annotate x USING (row_id)),
@@ -448,7 +448,7 @@ def _lint_sql() -> str:
  UNION ALL SELECT row_id, 'LOC_VIET_TAT', text FROM ent WHERE label = 'LOCATION' AND regexp_matches(text, '^[A-Z]{{1,5}}$')
  UNION ALL SELECT row_id, 'TRIGGER_THIEU_CHU', text FROM word WHERE lower(text) = 'giết' AND substring(sentence, e + 1, 4) = ' hại'
  UNION ALL SELECT row_id, 'TRIGGER_SAI_LOAI', text FROM word WHERE lower(text) = 'bắt' AND substring(sentence, e + 1, 4) = ' cóc'
- UNION ALL SELECT row_id, 'CO_THE_THIEU_TRIGGER', label FROM seen n WHERE NOT EXISTS (SELECT 1 FROM trig t WHERE t.row_id = n.row_id AND t.s <= n.s AND n.e <= t.e)
+ UNION ALL SELECT row_id, 'CO_THE_THIEU_TRIGGER', text FROM seen n WHERE NOT EXISTS (SELECT 1 FROM trig t WHERE t.row_id = n.row_id AND t.s <= n.s AND n.e <= t.e)
  UNION ALL SELECT g.row_id, 'PERSON_CHUA_NOI', g.text FROM ent g WHERE label = 'PERSON' AND g.row_id IN (SELECT row_id FROM trig) AND NOT EXISTS (SELECT 1 FROM trig t WHERE t.row_id = g.row_id AND {near})
  UNION ALL SELECT row_id, 'ORG_CHUA_NOI_CO_QUAN', text FROM ent WHERE label = 'ORGANIZATION' AND row_id IN (SELECT row_id FROM trig WHERE label IN ({quoted(V.PROCEDURAL_EVENTS)}))
  UNION ALL SELECT t.row_id, 'TRIGGER_CHUA_NOI', t.text FROM word t WHERE t.row_id IN (SELECT row_id FROM ent) AND NOT EXISTS (SELECT 1 FROM gold g WHERE g.row_id = t.row_id AND {near})
