@@ -75,7 +75,7 @@ def plan(docs: DataFrame, targets: DataFrame, size: float | None = None) -> Data
 def mix(docs: DataFrame, targets: DataFrame, size: float | None = None, seed: int = 42, vocabulary: str = VOCABULARY) -> DataFrame:
     """``mix_name, source, doc_id, n_tokens, copies`` with copies > 0."""
     # Tokens are counted in place: a row is a document, also where ids repeat.
-    rows = cut(docs.where(F.col("source").isNotNull()).select("doc_id", "source", n_tokens(F.col("text"), vocabulary).alias("n_tokens")).where("n_tokens > 0"))
+    rows = cut(docs.where(F.col("source").isNotNull()).select("doc_id", "source", n_tokens(F.col("text"), vocabulary).alias("n_tokens"))).where("n_tokens > 0")
     goal = cut(plan(rows, targets, size).where("copies > 0").select("mix_name", "source", "copies", F.greatest(F.lit(1), F.ceil(F.col("documents") / SHARD_DOCS)).alias("shards")))
     want = rows.join(F.broadcast(goal), "source").withColumn("whole", F.floor("copies").cast("int")).withColumn("part", F.col("copies") - F.floor("copies"))
     want = want.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "shards").cast("int"))
