@@ -18,3 +18,17 @@ def test_p2_two_chains_in_one_text(model, other):  # noqa: F811
         assert "tcvn3>western" in got.chain and got.text.startswith(CLEAN[0] + between)
     else:
         assert got.text == CLEAN[0] + between + second
+
+
+def test_p2_readings_that_look_worse_at_first_are_followed(model):  # noqa: F811
+    bad = CLEAN[0]
+    for chain in ("mac_roman", "cp437", "western", "western"):
+        bad = encoding.garble(bad, chain)
+    assert encoding.repair(bad, model).text == CLEAN[0]
+
+
+def test_p2_chains_of_any_length(model):  # noqa: F811
+    bad = CLEAN[1]
+    for _ in range(5):
+        bad = encoding.garble(bad, "western")
+    assert encoding.repair(bad, model).text == CLEAN[1]
