@@ -118,6 +118,20 @@ def test_p5_forms_and_keys(spark):
     assert got[("raw_articles", 1)] == "tòa án" and got[("sentences", 7)] == "nhân dân" and ("raw_articles", 2) not in got and ("sentences", 8) not in got
 
 
+def test_p5_every_text_comes_out_and_garbled_ones_are_restored(spark):
+    from vanloom.llm import lookalike
+
+    garbled = encoding.garble(CLEAN[0] + "\u200b", "western")
+    a = spark.createDataFrame([(1, "Ｔòa án"), (2, "Tòa án"), (3, None), (4, garbled), (5, CLEAN[0]), (6, "")] + [(10 + i, CLEAN[i % 3]) for i in range(60)], "article_id bigint, Content string")
+    s = spark.createDataFrame([(7, "tòa\u00a0án"), (8, "")], "row_id bigint, sentence string")
+    got = {(r.table_name, r.record_id): r for r in lookalike.all_forms(a, s).collect()}
+    key = lambda t, i: got[(t, i)].compare_key
+    assert len(got) == 67 and ("raw_articles", 3) not in got and got[("raw_articles", 6)].unified == ""
+    assert key("raw_articles", 1) == key("raw_articles", 2) == key("sentences", 7) == "tòa án"
+    assert got[("raw_articles", 4)].unified == CLEAN[0] and key("raw_articles", 4) == key("raw_articles", 5)
+    assert {r.record_id for r in lookalike.one_form(a, s).collect()} == {1, 4, 7}
+
+
 def test_p8_tokens_need_no_other_package():
     from vanloom.llm import tokens
 
