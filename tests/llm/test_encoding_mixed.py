@@ -32,3 +32,19 @@ def test_p2_chains_of_any_length(model):  # noqa: F811
     for _ in range(5):
         bad = encoding.garble(bad, "western")
     assert encoding.repair(bad, model).text == CLEAN[1]
+
+
+def test_p2_no_string_is_scored_twice(model):  # noqa: F811
+    scored = []
+
+    class Watched:
+        def mean(self, text):
+            scored.append(text)
+            return model.mean(text)
+
+    bad = CLEAN[0]
+    for chain in ("mac_roman", "western"):
+        bad = encoding.garble(bad, chain)
+    bad += " Theo thong tin ban dau cua co quan chuc nang hom nay. " + encoding.garble(CLEAN[1], "tcvn3")
+    assert encoding.repair(bad, Watched()) == encoding.repair(bad, model)
+    assert len(scored) == len(set(scored)) > 10
